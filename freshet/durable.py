@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A dimension of at most this many rows may be broadcast.
@@ -15,17 +16,32 @@ HOT_SHARE = 200
 SALTS = 64
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder once and continue from the written rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors must share.
 
-    The folder is the session's `spark.checkpoint.dir`, shared by all executors,
-    so a lost executor costs a re-read and not a recomputation with other bounds.
+    The session's `spark.checkpoint.dir` decides; only a local session without
+    one gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path inside the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder once and continue from the written rows.
+
+    A lost executor then costs a re-read and not a recomputation, which could
+    come out with other range borders.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -45,16 +45,22 @@ def summary(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_simulations"),
         F.coalesce(round_half_up(F.avg("inference_time_ms"), 2), zero).alias("avg_latency_ms"),
         F.coalesce(round_half_up(F.avg("flood_risk_score"), 4), zero).alias("avg_risk_score"),
-        *[F.count_if(bin_condition(lo, hi)).alias(f"bin_{name}") for name, lo, hi in SCORE_BINS],
+        *[F.count_if(bin_condition(lo, hi)).alias(f"bin_{i}") for i, (_, lo, hi) in enumerate(SCORE_BINS)],
         *[F.count(n).alias(f"used_{n}") for n in TRACKED_COLUMNS],
     )
 
 
 def histogram(totals: DataFrame) -> DataFrame:
     """(bin, rows) from the summary row."""
-    names = [f"bin_{name}" for name, _, _ in SCORE_BINS]
-    rows = totals.select(*names).unpivot([], names, "name", "rows")
-    return rows.select(F.replace("name", F.lit("bin_"), F.lit("")).alias("bin"), "rows")
+    rows = totals.select(
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(name).alias("bin"), c(f"bin_{i}").alias("rows"))
+                  for i, (name, _, _) in enumerate(SCORE_BINS)]
+            )
+        ).alias("_b")
+    )
+    return rows.select("_b.*")
 
 
 def usage(totals: DataFrame) -> DataFrame:

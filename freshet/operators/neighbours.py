@@ -20,20 +20,24 @@ from freshet.durable import materialize
 
 c = F.col
 BLOCK_ROWS = 4096
-PIVOTS = 64
+MOST_PIVOTS = 256
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
+def block_math():
+    """Array helpers as local functions, so that tasks get them by value."""
 
+    def matrix(column) -> np.ndarray:
+        return np.vstack(column.to_numpy()).astype(np.float64)
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of every row of a to every row of b, summed per axis."""
-    out = np.empty((len(a), len(b)))
-    for i in range(len(a)):
-        diff = b - a[i]
-        out[i] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    return out
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Euclidean distances of every row of a to every row of b."""
+        out = np.empty((len(a), len(b)))
+        for i in range(len(a)):
+            diff = b - a[i]
+            out[i] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        return out
+
+    return matrix, distances
 
 
 def pick_pivots(vectors: DataFrame, key: str, vector: str, count: int) -> np.ndarray:
@@ -44,6 +48,8 @@ def pick_pivots(vectors: DataFrame, key: str, vector: str, count: int) -> np.nda
 
 def assign_cells(refs: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot and the distance to it."""
+    matrix, distances = block_math()
+
     def assign(batches):
         for pdf in batches:
             if len(pdf):
@@ -52,24 +58,26 @@ def assign_cells(refs: DataFrame, key: str, vector: str, pivots: np.ndarray) ->
                 pdf["radius"] = d.min(axis=1)
                 yield pdf
 
-    schema = refs.schema.add("cell", "int").add("radius", "double")
-    return refs.mapInPandas(assign, schema)
+    fields = ", ".join(f"{name} {kind}" for name, kind in refs.dtypes)
+    return refs.mapInPandas(assign, f"{fields}, cell int, radius double")
 
 
 def nearest(
     queries: DataFrame, refs: DataFrame, key: str, vector: str, k: int, group: str | None = None,
-    block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS,
+    block_rows: int = BLOCK_ROWS, pivots: int | None = None,
 ) -> DataFrame:
     """(key, ref_key, distance, position): the k nearest references of every query.
 
     With `group`, references of the query's own group are left out (as the fold of
     a validation row is when a neighbour model is cross-validated).
     """
-    own = group or "_group"
+    matrix, distances = block_math()
     side = lambda df: df.select(
         c(key).alias("_id"), c(vector).alias("_v"),
         (c(group) if group else F.lit(-1)).cast("int").alias("_g"),
     )
+    # A cell about as large as a block, as long as there are not too many of them.
+    pivots = pivots or max(1, min(MOST_PIVOTS, refs.count() // block_rows))
     centres = pick_pivots(refs, key, vector, pivots)
     cells = materialize(assign_cells(side(refs), "_id", "_v", centres))
     # One row per cell and group; there are at most `pivots` cells.

@@ -62,29 +62,38 @@ def value_ladder(
     )
 
 
-def quantile_columns(ladder: DataFrame, value: str, quantiles: dict[str, float]) -> list[Column]:
-    """Aggregates over a ladder giving linearly interpolated quantiles."""
-    out = []
-    for name, p in quantiles.items():
-        spot = F.lit(float(p)) * (c("rows") - 1)
-        low = F.floor(spot)
-        share = F.max(spot - low)
-
-        def at(position: Column) -> Column:
-            here = (c("below") <= position) & (position < c("below") + c("ties"))
-            return F.max(F.when(here, c(value)))
+def ladder_quantiles(
+    ladder: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]
+) -> DataFrame:
+    """One row per group with linearly interpolated quantiles.
 
-        lower, upper = at(low), at(F.ceil(spot))
-        out.append((lower + (upper - lower) * share).alias(name))
-    return out
+    Each wanted quantile falls on one or two steps of a ladder; only those steps
+    are kept, so what follows is as small as the result.
+    """
+    wanted = ", ".join(f"{float(p)!r}D" for p in quantiles.values())
+    hit = "below <= ceil(q.spot) AND floor(q.spot) < below + ties"
+    spots = f"transform(array({wanted}), (p, i) -> struct(i AS i, p * (rows - 1) AS spot))"
+    steps = ladder.select(
+        *groups, c(value).alias("_v"), "below", "ties", F.explode(F.expr(f"filter({spots}, q -> {hit})")).alias("_q")
+    )
+    at = "max(CASE WHEN below <= {0}(_q.spot) AND {0}(_q.spot) < below + ties THEN _v END)"
+    found = steps.groupBy(*groups, c("_q.i").alias("_i")).agg(
+        F.expr(at.format("floor")).alias("_low"), F.expr(at.format("ceil")).alias("_high"),
+        F.expr("max(_q.spot - floor(_q.spot))").alias("_share"),
+    )
+    return found.groupBy(*groups).agg(
+        *[
+            F.expr(f"max(CASE WHEN _i = {i} THEN _low + (_high - _low) * _share END)").alias(name)
+            for i, name in enumerate(quantiles)
+        ]
+    )
 
 
 def group_quantiles(
     df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """Exact interpolated quantiles of `value` per group."""
-    ladder = value_ladder(df, groups, value)
-    return ladder.groupBy(*groups).agg(*quantile_columns(ladder, value, quantiles))
+    return ladder_quantiles(value_ladder(df, groups, value), groups, value, quantiles)
 
 
 def column_quantiles(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet.durable import lookup, materialize
 from freshet.operators.ordering import (
-    column_quantiles, group_quantiles, quantile_columns, value_ladder,
+    column_quantiles, group_quantiles, ladder_quantiles, value_ladder,
 )
 
 c = F.col
@@ -53,9 +53,7 @@ def group_profile(
         ).alias("_m"),
     ).select(group, "_m.*")
     ladder = value_ladder(long, [group, "column"], "value")
-    per_column = ladder.groupBy(group, "column").agg(
-        *quantile_columns(ladder, "value", wanted | {"_median": 0.5})
-    )
+    per_column = ladder_quantiles(ladder, [group, "column"], "value", wanted | {"_median": 0.5})
     picked = per_column.groupBy(group).agg(
         *[F.max(F.when(c("column") == value, c(n))).alias(n) for n in wanted],
         *[

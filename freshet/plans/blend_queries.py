@@ -212,12 +212,12 @@ JOIN ys lo ON lo.p = CAST(floor(spot) AS BIGINT) LEFT JOIN ys hi ON hi.p = CAST(
     ["rank", "pred"]))
 def rank_blend(spark, folder):
     """Mean rank of the four best models, mapped onto the target's distribution."""
-    preds = predictions(spark, folder)
+    preds = materialize(predictions(spark, folder))
     oof = preds.where(c("split") == "train")
     top = blending.top_by_rmse(blending.model_scores(oof), 4)
     best = preds.join(F.broadcast(top.select("model")), "model", "left_semi")
     ranked = blending.rank_average(best, ["split", "model"], "record_id")
-    target = labelled(observations(spark, folder)).select("record_id", "flood_risk_score")
+    target = oof.where(c("model") == A).select("record_id", c("y").alias("flood_risk_score"))
     return tidy(calibrate.remap_ranks(ranked, target, "flood_risk_score", "record_id"))
 
 
@@ -234,7 +234,7 @@ SELECT record_id, pred, CASE WHEN x0 IS NULL THEN (SELECT y0 FROM k WHERE p = 0)
 FROM q ASOF LEFT JOIN k ON q.pred >= k.x0""", CAL_CTE), ["pred", "calibrated"]))
 def quantile_calibration(spark, folder):
     """Test predictions moved to the target value at their place among the known ones."""
-    preds = predictions(spark, folder).where(c("model") == A)
+    preds = materialize(predictions(spark, folder).where(c("model") == A))
     known = preds.where(c("split") == "train").select("record_id", c("pred").alias("oof"), "y")
     asked = preds.where(c("split") == "test").select("record_id", "pred")
     return tidy(calibrate.quantile_calibrate(asked, "pred", known, "oof", "y", "record_id"))
@@ -254,7 +254,7 @@ SELECT record_id, CASE WHEN x0 IS NULL THEN (SELECT min(y) FROM kn) WHEN x1 IS N
     ["calibrated"]))
 def knot_calibration(spark, folder):
     """The same mapping through 101 quantiles, looked up in every task."""
-    preds = predictions(spark, folder).where(c("model") == A)
+    preds = materialize(predictions(spark, folder).where(c("model") == A))
     xs, ys = calibrate.quantile_knots(preds.where(c("split") == "train"), "pred", "y", KNOTS)
     asked = preds.where(c("split") == "test").select("record_id", "pred")
     return tidy(calibrate.interpolate(asked, "pred", xs, ys, "calibrated").select("record_id", "calibrated"))

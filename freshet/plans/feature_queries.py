@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from freshet.constants import (
     CATEGORICAL, ENCODING_PRODUCTS, NUMERIC_INPUTS, TARGET, TARGET_ENCODINGS,
 )
+from freshet.durable import materialize
 from freshet.functions import features as fx
 from freshet.functions.scalars import logit, risk_level, sigmoid
 from freshet.functions.scorers import heuristic_score, linear_combination, linear_score, score
@@ -306,7 +307,8 @@ def feature_table(obs, features=FEATURES_108, serving=False):
     )
     both = train.unionByName(test)
     both = encoding.apply_codes(both, codes, CATEGORICAL)
-    both = fx.add(both, fx.encoding_products(both.columns))
+    # Written once: the medians and the result both read the finished features.
+    both = materialize(fx.add(both, fx.encoding_products(both.columns)))
     numeric = [n for n in features if n in both.columns]
     fill = ordering.medians(labelled(both), numeric)
     return fx.align(both, features, fill, keep=["record_id", "split", "fold", TARGET])

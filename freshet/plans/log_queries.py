@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from freshet.constants import DISTRICTS, NUMERIC_INPUTS, SCORE_BINS, TRACKED_COLUMNS
+from freshet.durable import scratch
 from freshet.operators import logs, stats
 from freshet.operators.scenario import simulate
 from freshet.plans.common import array_text, heuristic_sql, level_sql, over_scenarios, rnd, sql, tidy, tidy_sql
@@ -82,8 +80,7 @@ def log_append(spark, folder):
     """Scored scenarios appended to a log table and read back from it."""
     scored = simulate(scenarios(spark, folder)).withColumn("inference_time_ms", F.lit(0.0))
     rows = logs.log_rows(scored, ["district", *NUMERIC_INPUTS], F.lit("2024-06-15").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/freshet-log"
-    path = os.path.join(base, f"log-{uuid.uuid4().hex}")
+    path = scratch(spark, "log")
     files.append_log(rows, path)
     back = files.read_log(spark, path)
     logged = F.get_json_object("input_features_json", "$.drainage_index").cast("double")
