@@ -36,13 +36,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder once and continue from the written rows.
+    """Write `df` to the shared folder once and continue from the written table.
 
     A lost executor then costs a re-read and not a recomputation, which could
-    come out with other range borders.
+    come out with other range borders. Later steps read only the columns they use.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(

@@ -5,7 +5,7 @@ Predictions live in one long table: record_id, split, model, (seed, repeat, fold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import clip_unit
@@ -89,15 +89,14 @@ def inverse_error_weights(scores: DataFrame, least_r2: float | None = None) -> D
     """(model, weight): weights in proportion to 1/RMSE, summing to 1."""
     if least_r2 is not None:
         scores = scores.where(c("r2") > least_r2)
-    total = scores.agg(F.sum(1.0 / c("rmse")).alias("_total"))
-    return scores.join(F.broadcast(total)).select(  # one row
-        "model", (1.0 / c("rmse") / c("_total")).alias("weight")
-    )
+    everything = Window.partitionBy(F.lit(1))  # one row per model
+    share = 1.0 / c("rmse") / F.sum(1.0 / c("rmse")).over(everything)
+    return scores.select("model", share.alias("weight"))
 
 
 def blend_by_weights(preds: DataFrame, weights: DataFrame, ids: list[str]) -> DataFrame:
     """Weighted sum per record; `weights` has one row per model."""
-    return preds.join(F.broadcast(weights), "model").groupBy(*ids).agg(
+    return preds.join(weights, "model").groupBy(*ids).agg(
         F.sum(c("pred") * c("weight")).alias("pred")
     )
 

@@ -36,13 +36,13 @@ def ordered_values(df: DataFrame, value: str, key: str) -> DataFrame:
 def remap_ranks(ranked: DataFrame, target: DataFrame, value: str, key: str) -> DataFrame:
     """Adds `pred`: the target value at each rank in [0, 1], interpolated."""
     places = ordered_values(target, value, key)
-    total = target.where(c(value).isNotNull()).agg((F.count(F.lit(1)) - 1).alias("_last"))
-    at = ranked.join(F.broadcast(total)).withColumn(  # one row
-        "_spot", F.least(c("rank"), F.lit(1.0)) * c("_last")
-    ).withColumn("position", F.floor("_spot"))
+    last = target.where(c(value).isNotNull()).count() - 1
+    at = ranked.withColumn("_spot", F.least(c("rank"), F.lit(1.0)) * last).withColumn(
+        "position", F.floor("_spot")
+    )
     joined = at.join(places, "position", "left")
     mixed = c("here") + (F.coalesce("next", "here") - c("here")) * (c("_spot") - c("position"))
-    return joined.withColumn("pred", mixed).drop("_last", "_spot", "position", "here", "next")
+    return joined.withColumn("pred", mixed).drop("_spot", "position", "here", "next")
 
 
 def quantile_calibrate(

@@ -95,46 +95,61 @@ def encoding_table(
     )
 
 
+def fold_sums(
+    train: DataFrame, columns: list[tuple[str, float]], target: str, fold: str
+) -> DataFrame:
+    """(column, category, fold, _s, _n): all that the encodings need, from one pass."""
+    long = categories_long(train, [n for n, _ in columns], [target, fold])
+    return materialize(
+        long.groupBy("column", "category", fold).agg(
+            F.sum(target).alias("_s"), F.count(target).alias("_n")
+        )
+    )
+
+
 def fold_encoding_table(
-    train: DataFrame, columns: list[tuple[str, float]], target: str, fold: str,
-    prior: float | None,
+    sums: DataFrame, columns: list[tuple[str, float]], fold: str, prior: float | None
 ) -> DataFrame:
     """(column, category, fold, enc, rows_of_key): each fold's encoding without its own rows.
 
-    Sums per category and fold are made once; leaving a fold out is a subtraction.
-    With no `prior`, the mean of the rows outside the fold is used.
+    Leaving a fold out is a subtraction from the sums of the category. With no
+    `prior`, the mean of the rows outside the fold is used.
     """
-    long = categories_long(train, [n for n, _ in columns], [target, fold])
-    sums = long.groupBy("column", "category", fold).agg(
-        F.sum(target).alias("_s"), F.count(target).alias("_n")
-    )
     # One row per fold in a window partition.
     key = Window.partitionBy("column", "category")
     rest_s = F.sum("_s").over(key) - c("_s")
     rest_n = F.sum("_n").over(key) - c("_n")
     if prior is None:
-        per_fold = train.groupBy(fold).agg(
-            F.sum(target).alias("_fs"), F.count(target).alias("_fn")
+        per_fold = sums.where(c("column") == columns[0][0]).groupBy(fold).agg(
+            F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn")
         )
         every = Window.partitionBy(F.lit(1))  # one row per fold
-        per_fold = per_fold.select(
-            fold,
-            ((F.sum("_fs").over(every) - c("_fs"))
-             / (F.sum("_fn").over(every) - c("_fn"))).alias("_prior"),
-        )
-        sums = sums.join(per_fold, fold)
+        others = (F.sum("_fs").over(every) - c("_fs")) / (F.sum("_fn").over(every) - c("_fn"))
+        sums = sums.join(per_fold.select(fold, others.alias("_prior")), fold)
         mean = c("_prior")
     else:
         mean = F.lit(prior)
     # A category seen in one fold only has rest_n = 0 and falls back to the prior.
-    return materialize(
-        sums.select(
-            "column", "category", fold, c("_n").alias("rows_of_key"),
-            smoothed(rest_s, rest_n, mean, smoothing_of(columns)).alias("enc"),
-        )
+    return sums.select(
+        "column", "category", fold, c("_n").alias("rows_of_key"),
+        smoothed(rest_s, rest_n, mean, smoothing_of(columns)).alias("enc"),
     )
 
 
+def full_encoding_table(sums: DataFrame, columns: list[tuple[str, float]], prior: float) -> DataFrame:
+    """(column, category, enc, rows_of_key) over all folds."""
+    total = sums.groupBy("column", "category").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("rows_of_key"))
+    return total.select(
+        "column", "category", "rows_of_key",
+        smoothed(c("_s"), c("rows_of_key"), F.lit(prior), smoothing_of(columns)).alias("enc"),
+    )
+
+
+def mean_of_sums(sums: DataFrame, column: str) -> float:
+    row = sums.where(c("column") == column).agg(F.sum("_s"), F.sum("_n")).first()
+    return row[0] / row[1]
+
+
 def attach_encodings(
     df: DataFrame, table: DataFrame, columns: list[str], prior: float,
     fold: str | None = None, suffix: str = "_te",
@@ -165,21 +180,26 @@ def mean_of(df: DataFrame, target: str) -> float:
 
 
 def fold_safe_encode(
-    train: DataFrame, test: DataFrame | None, columns: list[tuple[str, float]],
-    target: str, fold: str, prior: str = "global",
-) -> tuple[DataFrame, DataFrame | None]:
-    """Target encodings of the training rows from other folds, of the test rows from all.
+    df: DataFrame, columns: list[tuple[str, float]], target: str, fold: str,
+    train: Column | None = None, prior: str = "global",
+) -> DataFrame:
+    """Target encodings of training rows from other folds, of other rows from all folds.
 
-    `prior` is "global" (mean of all training rows) or "fold" (of the other folds).
+    `train` tells the training rows (default: all). `prior` is "global" (mean of
+    all training rows) or "fold" (of the other folds). The rows are read twice:
+    for the sums, and to attach the encodings.
     """
     names = [n for n, _ in columns]
-    mean = mean_of(train, target)
-    by_fold = fold_encoding_table(train, columns, target, fold, mean if prior == "global" else None)
-    encoded = attach_encodings(train, by_fold, names, mean, fold)
-    if test is None:
-        return encoded, None
-    full = encoding_table(train, columns, target, mean)
-    return encoded, attach_encodings(test, full, names, mean)
+    sums = fold_sums(df if train is None else df.where(train), columns, target, fold)
+    mean = mean_of_sums(sums, names[0])
+    table = fold_encoding_table(sums, columns, fold, mean if prior == "global" else None)
+    if train is None:
+        return attach_encodings(df, materialize(table), names, mean, fold)
+    # Other rows look up the encodings of all folds under a fold number of their own.
+    full = full_encoding_table(sums, columns, mean).withColumn(fold, F.lit(-1))
+    table = materialize(table.unionByName(full).withColumnRenamed(fold, "_fold"))
+    keyed = df.withColumn("_fold", F.when(train, c(fold)).otherwise(F.lit(-1)))
+    return attach_encodings(keyed, table, names, mean, "_fold").drop("_fold")
 
 
 def scaling_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

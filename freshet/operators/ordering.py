@@ -28,37 +28,40 @@ def value_ladder(
 
     Null values and null groups take no part. `weight` counts a row as that many.
     """
-    known = df.where(c(value).isNotNull())
-    for name in groups:
-        known = known.where(c(name).isNotNull())
-    counted = known.groupBy(*groups, value).agg(
+    counted = known_rows(df, [*groups, value]).groupBy(*groups, value).agg(
         F.sum(weight if weight is not None else F.lit(1)).cast("bigint").alias("ties")
     )
+    return climb(counted, groups, [value])
+
+
+def known_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    for name in names:
+        df = df.where(c(name).isNotNull())
+    return df
+
+
+def climb(steps: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """Adds `below` and `rows` to steps that are unique per group and order."""
     # The slice borders come from a sample, so they are fixed by writing them down.
     sliced = materialize(
-        counted.repartitionByRange(slices(df), *groups, value).withColumn(
+        steps.repartitionByRange(slices(steps), *groups, *order).withColumn(
             "_slice", F.spark_partition_id()
         )
     )
     part = [*groups, "_slice"]
-    within = sliced.withColumn(
-        "_upto", F.sum("ties").over(Window.partitionBy(*part).orderBy(value))
-    )
+    upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = sliced.withColumn("_upto", F.sum("ties").over(upto))
     # At most one row per slice and group: small however large the group is.
     totals = sliced.groupBy(*part).agg(F.sum("ties").alias("_total"))
     across = Window.partitionBy(*groups)
+    earlier = across.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *part,
-        F.coalesce(
-            F.sum("_total").over(
-                across.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_total").over(across).alias("rows"),
     )
     return within.join(totals, part).select(
-        *groups, value, "ties", (c("_before") + c("_upto") - c("ties")).alias("below"), "rows"
+        *groups, *order, "ties", (c("_before") + c("_upto") - c("ties")).alias("below"), "rows"
     )
 
 
@@ -140,17 +143,12 @@ def percent_ranks(
 
 
 def ordinal_positions(df: DataFrame, groups: list[str], value: str, tiebreak: str) -> DataFrame:
-    """(groups, tiebreak, value, position, rows): 0-based place by value, then tiebreak.
+    """(groups, value, tiebreak, position, rows): 0-based place by value, then tiebreak.
 
-    (value, tiebreak) is unique, so every ladder step is one row.
+    The tiebreak is unique within a group, so every step of the ladder is one row.
     """
-    key = df.select(*groups, F.struct(c(value), c(tiebreak)).alias("_key")).where(
-        c("_key")[value].isNotNull()
-    )
-    return value_ladder(key, groups, "_key").select(
-        *groups,
-        c("_key")[tiebreak].alias(tiebreak),
-        c("_key")[value].alias(value),
-        c("below").alias("position"),
-        "rows",
+    steps = known_rows(df, [*groups, value]).select(
+        *groups, value, tiebreak, F.lit(1).cast("bigint").alias("ties")
     )
+    placed = climb(steps, groups, [value, tiebreak])
+    return placed.select(*groups, value, tiebreak, c("below").alias("position"), "rows")

@@ -70,7 +70,7 @@ def options_of(name: str, target: float, rising: bool) -> str:
     there = f"({now} {'>=' if rising else '<='} {goal} OR abs({now} - {goal}) <= {EPSILON})"
     value = rounded_text(f"{now} + ({goal} - {now}) * f", 6)
     kept = (
-        f"going AND NOT {there} AND array_contains(s.open, '{name}')"
+        f"NOT {there} AND array_contains(s.open, '{name}')"
         f" AND v >= least({now}, {goal}) AND v <= greatest({now}, {goal})"
     )
     values = f"filter(array_distinct(transform(_fractions, f -> {value})), v -> {kept})"
@@ -179,8 +179,8 @@ def plan_round(scorer: Scorer) -> str:
         }),
         score="coalesce(pick.score, s.score)",
         open="coalesce(array_remove(s.open, pick.feature), s.open)",
-        running="going AND pick IS NOT NULL AND pick.score >= _threshold",
-        stalled="s.stalled OR (going AND pick IS NULL)",
+        running="pick IS NOT NULL AND coalesce(pick.score, 0D) >= _threshold",
+        stalled="pick IS NULL",
         steps="if(pick IS NULL, s.steps, concat(s.steps, array(pick)))",
         trials=f"concat(s.trials, transform(tried, x -> {trials}))",
         alternatives=f"concat(s.alternatives, transform(filter(improving, x -> NOT {accepted}), x -> {alternative}))",
@@ -188,7 +188,7 @@ def plan_round(scorer: Scorer) -> str:
     body = let("pick", f"array_min(transform(improving, x -> {ranked})).pick", moved)
     body = let("improving", improving, body)
     body = let("tried", f"transform(flatten(array({options})), o -> {trial})", body)
-    return let("going", "s.running AND r <= _limit", body)
+    return f"if(s.running AND r <= _limit, {body}, s)"
 
 
 def best_alternatives() -> str:

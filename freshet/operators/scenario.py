@@ -60,13 +60,9 @@ def simulate(df: DataFrame, scorer: Scorer = heuristic_score) -> DataFrame:
     return scored.withColumn("risk_level", risk_level(c("flood_risk_score")))
 
 
-def sweep(df: DataFrame, keep: list[str], scorer: Scorer = heuristic_score) -> DataFrame:
-    """Scores along evenly spaced values of each sweep feature: one row per feature.
-
-    Each input row fans out to a fixed number of features; the grid of a feature
-    stays in one array, so nothing is shuffled.
-    """
-    features = F.array(
+def sweep_grid() -> Column:
+    """Sweep features as an array of structs."""
+    return F.array(
         *[
             F.struct(
                 F.lit(name).alias("feature"), F.lit(label).alias("label"),
@@ -75,8 +71,31 @@ def sweep(df: DataFrame, keep: list[str], scorer: Scorer = heuristic_score) -> D
             for name, label, _, low, high, _ in SWEEP_FEATURES
         ]
     )
+
+
+def sweep_points(df: DataFrame, keep: list[str], scorer: Scorer = heuristic_score) -> DataFrame:
+    """Scores along evenly spaced values of each sweep feature: one row per point.
+
+    A row fans out to a fixed number of points, which are scored in place.
+    """
+    last = SWEEP_STEPS - 1
+    rows = df.withColumn("_f", F.explode(sweep_grid())).select(
+        *df.columns, "_f.*", F.explode(F.expr(f"sequence(0, {last})")).alias("point")
+    )
+    rows = rows.withColumn("_v", F.expr(f"low + (high - low) / {last}D * point"))
+    return rows.select(
+        *keep, "feature", "label", "point", round_half_up(c("_v"), 2).alias("value"),
+        round_half_up(score(scorer, overridden("feature", "_v")), 4).alias("score"),
+    )
+
+
+def sweep(df: DataFrame, keep: list[str], scorer: Scorer = heuristic_score) -> DataFrame:
+    """The same sweep with the values and scores of a feature as arrays of one row.
+
+    The points of a feature never leave their row, so nothing is shuffled.
+    """
     last = SWEEP_STEPS - 1
-    rows = df.withColumn("_f", F.explode(features)).withColumn(
+    rows = df.withColumn("_f", F.explode(sweep_grid())).withColumn(
         "_grid",
         F.expr(f"transform(sequence(0, {last}), i -> _f.low + (_f.high - _f.low) / {last}D * i)"),
     )
@@ -114,7 +133,8 @@ def interventions(df: DataFrame, keep: list[str], scorer: Scorer = heuristic_sco
             )
         ),
     )
-    rows = scored.select(*keep, "_base", F.posexplode("_sorted").alias("_pos", "_x"))
+    # The outer form: the plain one would first test the array's size and so build it twice.
+    rows = scored.select(*keep, "_base", F.posexplode_outer("_sorted").alias("_pos", "_x"))
     a = "_x.action."
     return rows.select(
         *keep, (c("_pos") + 1).alias("position"), c(a + "feature").alias("feature"),
@@ -180,7 +200,8 @@ def compare(
 
 def feature_changes(compared: DataFrame, key: str) -> DataFrame:
     """The changes of a comparison as rows."""
-    rows = compared.select(key, F.posexplode("changes").alias("_pos", "_x"))
+    rows = compared.select(key, F.posexplode_outer("changes").alias("_pos", "_x"))
+    rows = rows.where(c("_pos").isNotNull())
     fields = ["feature", "label", "value_a", "value_b", "delta", "impact_direction"]
     return rows.select(key, (c("_pos") + 1).alias("position"), *[c(f"_x.{n}").alias(n) for n in fields])
 

@@ -127,7 +127,7 @@ def fold_te_sql(columns, y: str = "flood_risk_score", prior: str = "global") ->
 @query("te_fold_safe", tidy_sql(fold_te_sql(TARGET_ENCODINGS), [f"{n}_te" for n in NAMES]))
 def te_fold_safe(spark, folder):
     train = labelled(observations(spark, folder)).select("record_id", "fold", TARGET, *NAMES)
-    encoded, _ = encoding.fold_safe_encode(train, None, TARGET_ENCODINGS, TARGET, "fold")
+    encoded = encoding.fold_safe_encode(train, TARGET_ENCODINGS, TARGET, "fold")
     return tidy(encoded.select("record_id", *[f"{n}_te" for n in NAMES]))
 
 
@@ -135,7 +135,7 @@ def te_fold_safe(spark, folder):
 def te_fold_prior(spark, folder):
     """Smoothing towards the mean of the other folds."""
     train = labelled(observations(spark, folder)).select("record_id", "fold", TARGET, "district")
-    encoded, _ = encoding.fold_safe_encode(train, None, [("district", 10.0)], TARGET, "fold", prior="fold")
+    encoded = encoding.fold_safe_encode(train, [("district", 10.0)], TARGET, "fold", prior="fold")
     return tidy(encoded.select("record_id", "district_te"))
 
 
@@ -150,9 +150,7 @@ def te_logit(spark, folder):
     train = labelled(observations(spark, folder)).select(
         "record_id", "fold", "place_name", "soil_type", logit(c(TARGET)).alias("z")
     )
-    encoded, _ = encoding.fold_safe_encode(
-        train, None, [("place_name", 5.0), ("soil_type", 10.0)], "z", "fold"
-    )
+    encoded = encoding.fold_safe_encode(train, [("place_name", 5.0), ("soil_type", 10.0)], "z", "fold")
     return tidy(encoded.select("record_id", "place_name_te", "soil_type_te"))
 
 
@@ -189,9 +187,7 @@ def te_interactions(spark, folder):
     ["corr"]))
 def te_correlation(spark, folder):
     train = labelled(observations(spark, folder)).select("record_id", "fold", TARGET, "district", "place_name")
-    encoded, _ = encoding.fold_safe_encode(
-        train, None, [("district", 10.0), ("place_name", 5.0)], TARGET, "fold"
-    )
+    encoded = encoding.fold_safe_encode(train, [("district", 10.0), ("place_name", 5.0)], TARGET, "fold")
     corrs = stats.correlations(encoded, ["district_te", "place_name_te"], TARGET)
     return tidy(corrs.select(F.replace("column", F.lit("_te"), F.lit("")).alias("column"), "corr"))
 

@@ -12,7 +12,9 @@ from freshet.functions import features as fx
 from freshet.functions.scalars import logit, risk_level, sigmoid
 from freshet.functions.scorers import heuristic_score, linear_combination, linear_score, score
 from freshet.operators import encoding, ordering
+
 from freshet.plans.common import heuristic_sql, level_sql, over_obs, tidy, tidy_sql
+from freshet.plans.encoding_queries import fold_te_sql, full_te_sql
 from freshet.sources.tables import labelled, observations, unlabelled
 
 c = F.col
@@ -300,21 +302,53 @@ def feature_table(obs, features=FEATURES_108, serving=False):
 
     Training rows get fold-safe encodings, test rows those of all training rows.
     """
-    wide = fx.engineer(obs, fx.FALLBACK_DATE, record_number=not serving)
-    codes = encoding.label_codes(wide, CATEGORICAL)
-    train, test = encoding.fold_safe_encode(
-        labelled(wide), unlabelled(wide), TARGET_ENCODINGS, TARGET, "fold"
-    )
-    both = train.unionByName(test)
-    both = encoding.apply_codes(both, codes, CATEGORICAL)
+    obs = materialize(obs)
+    codes = encoding.label_codes(obs, CATEGORICAL)
+    both = encoding.fold_safe_encode(obs, TARGET_ENCODINGS, TARGET, "fold", train=c("split") == "train")
+    # The meta block reads the raw categories, so the codes replace them last.
+    both = encoding.apply_codes(both, codes, CATEGORICAL, suffix="_code")
+    both = fx.engineer(both, fx.FALLBACK_DATE, record_number=not serving)
+    both = fx.add(both, fx.encoding_products(both.columns)).drop(*CATEGORICAL)
+    both = both.withColumnsRenamed({f"{n}_code": n for n in CATEGORICAL})
     # Written once: the medians and the result both read the finished features.
-    both = materialize(fx.add(both, fx.encoding_products(both.columns)))
+    both = materialize(both)
     numeric = [n for n in features if n in both.columns]
     fill = ordering.medians(labelled(both), numeric)
     return fx.align(both, features, fill, keep=["record_id", "split", "fold", TARGET])
 
 
-@query("feature_matrix")
+def matrix_sql() -> str:
+    """The same features in SQL: encodings, codes, blocks, then medians for the gaps."""
+    te = [f"{n}_te" for n, _ in TARGET_ENCODINGS]
+    river = {"river_clip": "greatest(distance_to_river_m, 0)"}
+    products = ", ".join(f"{e}_te * {river.get(f, f)} AS {name}" for f, e, name in ENCODING_PRODUCTS)
+    codes, joins = [], ""
+    for n in CATEGORICAL:
+        codes.append(f"CAST(k_{n}.code AS DOUBLE) AS c_{n}")
+        joins += f""" LEFT JOIN (SELECT category, row_number() OVER (ORDER BY category) - 1 AS code FROM (
+          SELECT DISTINCT coalesce({n}, 'nan') AS category FROM obs)) k_{n} ON k_{n}.category = coalesce(b.{n}, 'nan')"""
+    blocks = ", ".join(f"{text} AS {name}" for name, text in INTERACTIONS_SQL.items())
+    source = {n: f"c_{n}" for n in CATEGORICAL}
+    present = [n for n in FEATURES_108 if n not in ABSENT]
+    shown = ", ".join(
+        f"CAST(0 AS FLOAT) AS {n}" if n in ABSENT
+        else f"CAST(coalesce({source.get(n, n)}, m_{n}) AS FLOAT) AS f_{n}" for n in FEATURES_108
+    )
+    medians = ", ".join(f"median({source.get(n, n)}) AS m_{n}" for n in present)
+    renamed = ", ".join(n if n in ABSENT else f"f_{n} AS {n}" for n in FEATURES_108)
+    return over_obs(f"SELECT record_id, split, fold, flood_risk_score, {renamed} FROM (SELECT record_id, split, fold, flood_risk_score, {shown} FROM f, med)", f""",
+te AS MATERIALIZED (SELECT record_id, {', '.join(te)} FROM ({fold_te_sql(TARGET_ENCODINGS)})
+  UNION ALL SELECT record_id, {', '.join(te)} FROM ({full_te_sql('test')})),
+f AS MATERIALIZED (SELECT b.*, {', '.join(te)}, {products}, {', '.join(codes)}
+  FROM (SELECT *, {blocks} FROM ({meta_sql(True)})) b JOIN te ON te.record_id = b.record_id{joins}),
+med AS MATERIALIZED (SELECT {medians} FROM f WHERE split = 'train')""")
+
+
+ABSENT = ["latitude", "longitude", "monthly_rainfall_mm_log1p", "nearest_hospital_km_log1p", "nearest_evac_km_log1p",
+          "drainage_index_yeojohnson", "ndvi_qmap", "built_up_percent_qmap"]
+
+
+@query("feature_matrix", tidy_sql(matrix_sql(), [*FEATURES_108, TARGET], 4))
 def feature_matrix(spark, folder):
-    """All 108 features of every observation, as model input (checked by tests)."""
-    return feature_table(observations(spark, folder))
+    """All 108 features of every observation, as model input."""
+    return tidy(feature_table(observations(spark, folder)), 4)

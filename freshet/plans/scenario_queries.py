@@ -190,9 +190,7 @@ FROM (SELECT scen.*, feature, label, i,
   FROM scen, grid, (SELECT CAST(unnest(range(10)) AS INT) AS i))""", SWEEP_CTE)))
 def sensitivity_sweep(spark, folder):
     """Ten values of each of seven features per scenario."""
-    swept = scenario.sweep(spread_scenarios(spark, folder), KEEP)
-    points = swept.select(*KEEP, "feature", "label", F.posexplode(F.arrays_zip("values", "scores")).alias("point", "p"))
-    return points.select(*KEEP, "feature", "label", "point", c("p.values").alias("value"), c("p.scores").alias("score"))
+    return scenario.sweep_points(spread_scenarios(spark, folder), KEEP)
 
 
 IMPROVED = {n: f"CASE WHEN feature = '{n}' THEN CAST(better AS DOUBLE) ELSE {n} END" for n, *_ in SWEEP_FEATURES}

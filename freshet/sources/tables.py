@@ -26,7 +26,7 @@ def district_at(number: Column) -> Column:
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order: line totals, counted before the shuffle."""
-    hundredths = lambda name: F.round(c(name) * 100).cast("bigint")
+    hundredths = lambda name: F.floor(c(name) * 100 + 0.5)
     return table(spark, folder, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(
         F.sum("l_quantity").alias("qty"),
         F.sum(hundredths("l_discount")).alias("disc"),

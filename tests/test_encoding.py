@@ -33,7 +33,7 @@ def loop_encoding(data, smooth, prior):
 
 def test_fold_safe_encoding_equals_the_loop(spark, data):
     df = spark.createDataFrame(data)
-    got, _ = encoding.fold_safe_encode(df, None, [("place", 5.0)], "y", "fold")
+    got = encoding.fold_safe_encode(df, [("place", 5.0)], "y", "fold")
     got = got.toPandas().set_index("record_id").loc[data.record_id, "place_te"]
     np.testing.assert_allclose(got, loop_encoding(data, 5.0, "global"), rtol=1e-12)
 
@@ -41,7 +41,7 @@ def test_fold_safe_encoding_equals_the_loop(spark, data):
 def test_fold_prior(spark, data):
     """With the other folds' mean as prior, keys seen elsewhere follow the loop."""
     df = spark.createDataFrame(data)
-    got, _ = encoding.fold_safe_encode(df, None, [("place", 5.0)], "y", "fold", prior="fold")
+    got = encoding.fold_safe_encode(df, [("place", 5.0)], "y", "fold", prior="fold")
     got = got.toPandas().set_index("record_id").loc[data.record_id, "place_te"]
     np.testing.assert_allclose(got, loop_encoding(data, 5.0, "fold"), rtol=1e-12)
 
@@ -50,15 +50,16 @@ def test_key_of_one_fold_gets_the_prior(spark):
     df = spark.createDataFrame(
         [("a", 1.0, 0), ("a", 0.0, 0), ("b", 0.5, 0), ("b", 0.7, 1)], "k string, y double, fold int"
     )
-    got, _ = encoding.fold_safe_encode(df, None, [("k", 10.0)], "y", "fold")
+    got = encoding.fold_safe_encode(df, [("k", 10.0)], "y", "fold")
     assert [r["k_te"] for r in got.where("k = 'a'").collect()] == pytest.approx([0.55, 0.55])
 
 
 def test_unseen_and_missing_categories(spark):
     train = spark.createDataFrame([("x", 1.0, 0), (None, 0.0, 1), (None, 0.5, 0)], "k string, y double, fold int")
     test = spark.createDataFrame([("new", 1), (None, 2), ("x", 3)], "k string, id int")
-    _, got = encoding.fold_safe_encode(train, test, [("k", 1.0)], "y", "fold")
-    rows = {r["id"]: r["k_te"] for r in got.collect()}
+    both = folds.union_splits(train, test)
+    got = encoding.fold_safe_encode(both, [("k", 1.0)], "y", "fold", train=c("split") == "train")
+    rows = {r["id"]: r["k_te"] for r in got.where("split = 'test'").collect()}
     assert rows[1] == pytest.approx(0.5)
     assert rows[2] == pytest.approx((0.5 + 0.5) / 3)
     assert rows[3] == pytest.approx((1.0 + 0.5) / 2)
