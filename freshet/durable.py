@@ -60,7 +60,8 @@ def lookup(
 
     `stats` must be materialized. It is broadcast when its counted size (or the
     `size` counted by the caller) allows. Beyond that, keys whose `weight` (their number of fact rows) exceeds the
-    `hot_share` are salted, so that a key with a third of all rows is spread.
+    `hot_share` are salted, so that a key with a third of all rows is spread, and
+    so are rows without a key.
     """
     if (stats.count() if size is None else size) <= broadcast_rows:
         return facts.join(F.broadcast(stats.drop(weight) if weight else stats), keys, "left")
@@ -69,8 +70,12 @@ def lookup(
     total = stats.agg(F.sum(weight)).first()[0] or 0
     hot = stats.where(F.col(weight) * hot_share > F.lit(total))
     hot = hot.select(*keys, F.lit(True).alias("_hot"))
+    # Rows without a key match nothing, but would all meet in one task: spread them too.
+    unknown = F.lit(False)
+    for name in keys:
+        unknown = unknown | F.col(name).isNull()
     salted = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread(facts, salts)).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot") | unknown, spread(facts, salts)).otherwise(F.lit(0))
     )
     copies = stats.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",

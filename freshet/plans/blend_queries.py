@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from freshet.durable import materialize
 from freshet.operators import blending, calibrate, neighbours, ordering, stats, training
-from freshet.plans.common import over_obs, over_predictions, sql, tidy, tidy_sql
+from freshet.plans.common import over_predictions, tidy, tidy_sql
 from freshet.sources import files
-from freshet.sources.tables import STAND_IN_MODELS, labelled, observations, stand_in_predictions, table
+from freshet.sources.tables import STAND_IN_MODELS, stand_in_predictions, table
 
 c = F.col
 QUERIES, ORACLES = {}, {}

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.constants import DISTRICT_DEFAULTS, DISTRICTS, GENERIC_DEFAULTS, NUMERIC_INPUTS
+from freshet.constants import (
+    DISTRICT_DEFAULTS, DISTRICTS, GENERIC_DEFAULTS, MODEL_VERSIONS, NUMERIC_INPUTS, VERSION_FACTORS,
+)
 from freshet.sources.tables import STAND_IN_MODELS
 
 DIGITS = 6
@@ -133,7 +135,7 @@ def _scenarios() -> str:
     return f"""
 requests AS MATERIALIZED (
   SELECT number, CASE WHEN number % 11 = 0 THEN 'Atlantis' ELSE district END AS district,
-    ['v13', 'v18_titan', 'v20_colossus'][number % 3 + 1] AS model_version, {some},
+    {array_text(MODEL_VERSIONS)}[number % 3 + 1] AS model_version, {some},
     ['Low', 'Medium', 'High', 'Critical'][number % 4 + 1] AS target_risk_level,
     ['low_cost', 'balanced', 'aggressive'][(number // 3) % 3 + 1] AS budget_profile,
     CAST(number % 7 AS INT) AS max_steps, number % 5 = 0 AS narrow
@@ -157,6 +159,7 @@ def over_scenarios(text: str, more: str = "") -> str:
 def heuristic_sql(**other: str) -> str:
     """The heuristic score; `other` names the text to read a feature from."""
     g = lambda n: other.get(n, n)
+    factors = " ".join(f"WHEN '{v}' THEN {f!r}" for v, f in VERSION_FACTORS.items())
     return f"""least(greatest((0.40 + (coalesce({g('rainfall_7d_mm')}, 50) - 50) / 1500.0 * 0.15
       - (coalesce({g('drainage_index')}, 0.5) - 0.5) * 0.12
       - least((coalesce({g('elevation_m')}, 30) - 30) / 500.0, 0.1) * 0.08
@@ -165,7 +168,7 @@ def heuristic_sql(**other: str) -> str:
       + (coalesce({g('historical_flood_count')}, 2) - 2) * 0.02
       + (coalesce({g('extreme_weather_index')}, 0.3) - 0.3) * 0.10
       + greatest((coalesce({g('nearest_hospital_km')}, 5) - 5) / 50.0, 0) * 0.04)
-      * CASE {g('model_version')} WHEN 'v18_titan' THEN 0.98 WHEN 'v20_colossus' THEN 0.97 ELSE 1.0 END, 0), 1)"""
+      * CASE {g('model_version')} {factors} ELSE 1.0 END, 0), 1)"""
 
 
 def level_sql(score: str) -> str:

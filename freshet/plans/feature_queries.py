@@ -15,7 +15,7 @@ from freshet.operators import encoding, ordering
 
 from freshet.plans.common import heuristic_sql, level_sql, over_obs, tidy, tidy_sql
 from freshet.plans.encoding_queries import fold_te_sql, full_te_sql
-from freshet.sources.tables import labelled, observations, unlabelled
+from freshet.sources.tables import labelled, observations
 
 c = F.col
 QUERIES, ORACLES = {}, {}

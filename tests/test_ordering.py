@@ -88,6 +88,14 @@ def test_lookup_spreads_the_hot_key(spark, frame):
     assert "_salt" in plan
 
 
+def test_rows_without_a_key_are_spread_and_kept(spark):
+    facts = spark.range(400).select("id", F.when(c("id") % 4 == 0, F.lit("a")).alias("k"))
+    stats = materialize(facts.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("v")))
+    out = lookup(facts, stats, ["k"], weight="n", broadcast_rows=0, salts=8)
+    assert out.count() == 400 and out.where("v = 1").count() == 100
+    assert out.where("k is null and v is not null").isEmpty()
+
+
 def test_lookup_keeps_unmatched_rows(spark):
     facts = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, k string")
     stats = materialize(spark.createDataFrame([("a", 5, 1)], "k string, v int, n bigint"))

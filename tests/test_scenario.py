@@ -76,8 +76,8 @@ CASES = [
     (i, d, v, t, p, s, a)
     for i, (d, v, t, p, s, a) in enumerate(
         [(d, v, t, p, s, None) for d in ("Colombo", "Kandy", "Ratnapura", "Atlantis")
-         for v, t, p, s in (("v13", "Low", "balanced", 3), ("v18_titan", "Low", "low_cost", 5),
-                            ("v20_colossus", "Medium", "aggressive", 9), ("v13", "Critical", "balanced", 2))]
+         for v, t, p, s in (("v13", "Low", "balanced", 3), (k.MODEL_VERSIONS[1], "Low", "low_cost", 5),
+                            (k.MODEL_VERSIONS[2], "Medium", "aggressive", 9), ("v13", "Critical", "balanced", 2))]
         + [("Colombo", "v13", "Low", "aggressive", 5, ["not_a_feature", "drainage_index"]),
            ("Colombo", "v13", "Low", "balanced", 0, None), ("Colombo", "v13", "Low", "balanced", 3, [])]
     )
