@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.durable import scratch
-from freshet.llm import language, packing, quality
+from freshet.llm import language, ngram_join, packing, personal_data, quality
 from freshet.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,6 +37,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ).drop("_found")
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest id."""
+    return ngram_join.representatives(docs)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    found = personal_data.redacted(docs, personal_data.fit(docs))
+    return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
     return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -45,6 +56,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_stage),
     ("language identification", language_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("personal data", personal_data_stage),
     ("packing", packing_stage),
 ]
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import (
-    byte_bpe, language, language_model, licenses, near_vectors, packing, quality, top_k,
+    byte_bpe, language, language_model, licenses, near_vectors, ngram_join, packing, personal_data, quality, top_k,
 )
 from freshet.llm.common import remainder, table
 
@@ -38,6 +38,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: five-word shingles, Jaccard 0.75 or more."""
+    return ngram_join.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents, learnt from those whose remainder modulo 7 is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +51,12 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(docs, model, {"held_out": held_out})
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.span_report(docs, personal_data.fit(docs))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best other vectors for every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -74,7 +85,9 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_language_model": op5_language_model,
+    "op6_personal_data": op6_personal_data,
     "op7_top_k": op7_top_k,
     "op8_near_vectors": op8_near_vectors,
     "op9_licenses": op9_licenses,
