@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from freshet.durable import scratch
 from freshet.llm import language, ngram_join, packing, personal_data, quality
-from freshet.llm.common import table
+from freshet.llm.common import remainder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,14 +23,15 @@ LEAST_LANGUAGE_SHARE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, in the columns that came in."""
-    machine = quality.fit(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    """Documents that the quality classifier accepts, learnt as in its own query."""
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    machine = quality.fit(docs, labels, metadata=("n_chars",))
     return docs.where(quality.quality_score(machine, F.col("text")) >= quality.THRESHOLD)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter and undecided ones go."""
-    parser = language.fit(docs)
+    parser = language.fit(docs.where(remainder("doc_id", 4) != 2))
     found = language.language(parser, F.col("text"))
     return docs.withColumn("_found", found).where(
         (F.col("_found.lang") != "und") & (F.col("_found.score") >= LEAST_LANGUAGE_SHARE)
