@@ -169,9 +169,11 @@ def build(samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS, alphabet
             elif not material:
                 material = own[:symbols]
         step = suffix_automaton(material, alphabet)
-        restart = np.where(step[1] > 0, step[1], 1).astype(np.int32)  # the phrase that begins at a symbol
-        full = np.where(step > 0, step, restart[None, :])
+        # A phrase that cannot go on gives way to one that begins at the symbol; state 0, from which
+        # nothing goes on, stands for a symbol that the language does not have.
+        full = np.where(step > 0, step, step[1][None, :])
         missing = step == 0
+        missing[1] = False
         full = (full + base) * alphabet
         full[missing] |= MISSING
         tables.append(full.astype(np.int32))

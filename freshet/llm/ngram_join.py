@@ -35,7 +35,7 @@ from freshet.llm.components import components
 WIDTH = 5
 PERCENT = 75
 # Counters of the sketch of shingle frequencies, cut into chunks, and shingles per bucket of lists.
-SKETCH, CHUNKS = 1 << 21, 16
+SKETCH, CHUNKS = 1 << 22, 16
 BUCKET = 1_500_000
 # Distinct-set shingles that a task holds before it hands them on.
 HELD = 6_000_000
@@ -70,7 +70,7 @@ def required(n: np.ndarray | int, percent: int = PERCENT):
 def heavy_bits(counts: np.ndarray) -> np.ndarray:
     """Which counters stand for frequent shingles: far above what chance puts into a counter."""
     mean = float(counts.mean()) if len(counts) else 0.0
-    return counts > mean + 8 * np.sqrt(mean) + 64
+    return counts > mean + 8 * np.sqrt(mean) + 16
 
 
 def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT) -> int:
@@ -114,7 +114,7 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
                 "doc_id": batch["doc_id"], "n": ns, "node": pd.array(nodes, dtype="Int64"), "chunk": -1, "counts": None,
             })
         if counters.any():
-            parts = np.split(np.minimum(counters, 65535).astype(np.uint16), CHUNKS)
+            parts = np.split(np.minimum(counters, 255).astype(np.uint8), CHUNKS)
             yield pd.DataFrame({
                 "doc_id": pd.array([None] * CHUNKS, dtype="Int64"), "n": 0, "node": pd.array([None] * CHUNKS, dtype="Int64"),
                 "chunk": range(CHUNKS), "counts": [p.tobytes() for p in parts],
@@ -126,7 +126,7 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH // CHUNKS, np.uint32)
         for blob in frame["counts"]:
-            total += np.frombuffer(blob, np.uint16)
+            total += np.frombuffer(blob, np.uint8)
         return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
     counts = np.zeros(SKETCH, np.uint32)
@@ -264,10 +264,11 @@ def _bucket_lists(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out).assign(place=0)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(node, keys): the sets of the wanted nodes, each made anew from one of its documents.
+def _made(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, percent: int, whole: bool) -> DataFrame:
+    """(node, n, keys): the sets of the wanted nodes, made anew from one document of each.
 
-    A bitmap of fixed size, from all wanted ids, keeps most other texts from being looked at.
+    Only the smallest n - required + 1 hashes unless `whole`. A bitmap of fixed size, from all
+    wanted ids, keeps most other texts from being looked at.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
     bits = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
@@ -277,43 +278,56 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
     for row in bits.collect():  # at most NEEDED_BITS / 64 rows
         table[row["w"]] = row["bits"]
 
-    @F.pandas_udf("boolean")
-    def maybe(slots: pd.Series) -> pd.Series:
-        s = slots.fillna(0).to_numpy(np.int64)
-        return pd.Series(((table[s >> 6] >> (s & 63)) & 1).astype(bool))
-
-    @F.pandas_udf("binary")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width).tobytes() for t in texts], dtype=object)
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slots = batch["slot"].to_numpy(np.int64)
+            batch = batch[((table[slots >> 6] >> (slots & 63)) & 1).astype(bool)]
+            sets = [shingles(t, width) for t in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].to_numpy(), "node": [set_id(k) for k in sets], "n": [len(k) for k in sets],
+                "keys": [(k if whole else k[: len(k) - int(required(len(k), percent)) + 1]).tobytes() for k in sets],
+            })
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chosen = chosen.where(F.col("doc_id").isNotNull()).where(maybe(slot)).select("doc_id", keys("text").alias("keys"))
+    chosen = chosen.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("slot", slot)
+    made = chosen.mapInPandas(make, "doc_id long, node long, n long, keys binary")
     # An id that repeats may come with other texts: the set's own hash decides.
-    joined = chosen.join(wanted, "doc_id").where(F.length("keys") > 0)
+    return made.join(wanted, ["doc_id", "node"]).select("node", "n", "keys").dropDuplicates(["node"])
 
-    @F.pandas_udf("long")
-    def named(column: pd.Series) -> pd.Series:
-        return pd.Series([set_id(np.frombuffer(k, np.uint64)) for k in column], dtype="int64")
 
-    return joined.where(named("keys") == F.col("node")).select("node", "keys").dropDuplicates(["node"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough."""
+def _both(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) for which `test` of both sizes and hash arrays holds."""
 
     @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[place] == y).sum())
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
+    def passes(n: pd.Series, m: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        out = [test(*row) for row in zip(n, m, (np.frombuffer(x, np.uint64) for x in left), (np.frombuffer(y, np.uint64) for y in right))]
         return pd.Series(out, dtype=bool)
 
-    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
-    own = own.join(sets.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
-    return own.where(linked("x", "y")).select("a", "b")
+    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x")), "a")
+    own = own.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y")), "b")
+    return own.where(passes("na", "nb", "x", "y")).select("a", "b")
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common values of two ascending arrays without repeats."""
+    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int((x[place] == y).sum())
+
+
+def possible(n: int, m: int, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m with these smallest hashes can overlap enough.
+
+    Up to the smaller of the two last hashes both arrays are complete, so the set that ends
+    there shares what the arrays share, and at most all that is left of it.
+    """
+    left = n - len(x) if x[-1] <= y[-1] else m - len(y)
+    return (100 + percent) * (overlap(x, y) + left) >= percent * (n + m)
+
+
+def enough(n: int, m: int, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two whole sets have Jaccard percent / 100 or more."""
+    both = overlap(x, y)
+    return 100 * both >= percent * (n + m - both)
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -354,8 +368,17 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     members = members.distinct().unionAll(frequent.withColumnRenamed("sig", "list"))
     ids = candidates.select(F.col("a").alias("node")).unionAll(candidates.select(F.col("b").alias("node")))
     ids = ids.unionAll(members.select("node")).distinct()
-    sets = materialize(_sets(docs, ids.join(known.select("node", "doc_id"), "node"), doc_id, text, width))
-    first = materialize(_verified(candidates, sets, percent))
+    named = known.select("node", "doc_id")
+    prefixes = materialize(_made(docs, ids.join(named, "node"), doc_id, text, width, percent, False))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs that pass by their smallest hashes, then by their whole sets."""
+        left = materialize(_both(pairs, prefixes, lambda *row: possible(*row, percent)))
+        nodes = left.select(F.col("a").alias("node")).unionAll(left.select(F.col("b").alias("node"))).distinct()
+        sets = materialize(_made(docs, nodes.join(named, "node"), doc_id, text, width, percent, True))
+        return materialize(_both(left, sets, lambda *row: enough(*row, percent)))
+
+    first = verified(candidates)
     # Members of one list that are not connected yet are compared with each other.
     joined = materialize(components(first, "a", "b"))
     own = members.join(joined, "node", "left").select("list", "node", "n", "place", F.coalesce("component", "node").alias("c"))
@@ -371,8 +394,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
     ).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     done = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(_verified(crossed.join(done, ["a", "b"], "left_anti"), sets, percent))
-    return rows, first.unionAll(second)
+    return rows, first.unionAll(verified(crossed.join(done, ["a", "b"], "left_anti")))
 
 
 def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
