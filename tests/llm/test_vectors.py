@@ -3,6 +3,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.llm import near_vectors as near
 from freshet.llm import queries, top_k
@@ -38,9 +39,7 @@ def usable(rows):
 def test_top_k_equals_brute_force(vectors, monkeypatch, block):
     monkeypatch.setattr(top_k, "CANDIDATES", block)
     monkeypatch.setattr(top_k, "QUERIES", block)
-    own = vectors.where(top_k.usable("embedding")).withColumn("embedding", top_k.floored("embedding"))
-    from pyspark.sql import functions as F
-
+    own = vectors.where(top_k.usable(F.col("embedding"))).withColumn("embedding", top_k.floored(F.col("embedding")))
     rows = top_k.top_k(own, F.col("vec_id") % 20 == 0).collect()
     data = {i: np.floor(256 * v).astype(int) for i, (v, _) in usable(vectors.collect()).items()}
     for q in [i for i in data if i % 20 == 0]:
@@ -131,8 +130,6 @@ def test_quantisation_is_a_rotation():
 
 
 def test_empty_tables(vectors):
-    from pyspark.sql import functions as F
-
     none = vectors.limit(0)
     assert near.near_vectors(none).count() == 0
     assert top_k.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
