@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension of at most this many rows may be broadcast.
+# A dimension of at most this many rows and (estimated) bytes may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 # A key holding more than 1/HOT_SHARE of the rows is spread over SALTS join keys.
 # By construction there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 200
@@ -31,8 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path inside the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -58,18 +62,18 @@ def lookup(
 ) -> DataFrame:
     """Left join of `facts` to `stats`, which holds one row per key.
 
-    `stats` must be materialized. It is broadcast when its counted size (or the
-    `size` counted by the caller) allows. Beyond that, keys whose `weight` (their number of fact rows) exceeds the
-    `hot_share` are salted, so that a key with a third of all rows is spread, and
-    so are rows without a key.
+    `stats` must be materialized. It is broadcast when its counted rows (or the
+    `size` counted by the caller) and its estimated bytes allow. Beyond that, keys
+    that hold more than the `hot_share` of the fact rows are salted, whether `stats`
+    knows them or not, so that a key with a third of all rows is spread, and so are
+    rows without a key. `weight`, a count in `stats` by the caller, is dropped.
     """
-    if (stats.count() if size is None else size) <= broadcast_rows:
-        return facts.join(F.broadcast(stats.drop(weight) if weight else stats), keys, "left")
-    if weight is None:
-        return facts.join(stats, keys, "left")
-    total = stats.agg(F.sum(weight)).first()[0] or 0
-    hot = stats.where(F.col(weight) * hot_share > F.lit(total))
-    hot = hot.select(*keys, F.lit(True).alias("_hot"))
+    plain = stats.drop(weight) if weight else stats
+    rows, width = _extent(plain)
+    if (rows if size is None else size) <= broadcast_rows and rows * width <= BROADCAST_BYTES:
+        return facts.join(F.broadcast(plain), keys, "left")
+    counted = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = _hot_keys(counted, hot_share).select(*keys, F.lit(True).alias("_hot"))
     # Rows without a key match nothing, but would all meet in one task: spread them too.
     unknown = F.lit(False)
     for name in keys:
@@ -77,15 +81,33 @@ def lookup(
     salted = facts.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot") | unknown, spread(facts, salts)).otherwise(F.lit(0))
     )
-    copies = stats.join(F.broadcast(hot), keys, "left").withColumn(
+    copies = plain.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
         F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)))),
     )
     return salted.drop("_hot").join(
-        copies.drop("_hot", weight), [*keys, "_salt"], "left"
+        copies.drop("_hot"), [*keys, "_salt"], "left"
     ).drop("_salt")
 
 
+def _extent(df: DataFrame) -> tuple[int, float]:
+    """Rows of a table and their mean width in bytes: 8 per number, the length of each text."""
+    texts = [F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in df.dtypes if kind in ("string", "binary")]
+    wide = [F.length(F.to_json(F.struct(n))) for n, kind in df.dtypes if kind.startswith(("array", "map", "struct"))]
+    each = F.lit(8.0 * len(df.columns))
+    for width in [*texts, *wide]:
+        each = each + width
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.avg(each).alias("width")).first()
+    return row["rows"], row["width"] or 0.0
+
+
+def _hot_keys(counted: DataFrame, hot_share: int) -> DataFrame:
+    """Keys with more than 1/hot_share of all rows; fewer than hot_share by construction."""
+    counted = materialize(counted)
+    total = counted.agg(F.sum("_rows")).first()[0] or 0
+    return counted.where(F.col("_rows") * hot_share > F.lit(total))
+
+
 def spread(df: DataFrame, salts: int) -> Column:
     """A salt in [0, salts) that depends on the row's content only."""
     plain = [name for name, kind in df.dtypes if not kind.startswith(("map", "variant"))]

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from freshet.constants import LEVELS, LEVEL_THRESHOLDS
 
 
+# Above this, a double has no fraction left, and its floor would leave the range of longs.
+EXACT = float(2**52)
+
+
 def clip_low(x: Column, low: float = 0.0) -> Column:
     """max(x, low); null stays null (`greatest` alone would return `low`)."""
     return F.when(x.isNotNull(), F.greatest(x, F.lit(low)))
 
 
 def clip_unit(x: Column) -> Column:
-    """x limited to [0, 1]; null stays null."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    """x limited to [0, 1]; null and not-a-number stay."""
+    return F.when(F.isnan(x), x).when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def flag(condition: Column) -> Column:
@@ -24,9 +28,14 @@ def flag(condition: Column) -> Column:
 
 
 def round_half_up(x: Column, digits: int) -> Column:
-    """Round on the binary value, so that equal doubles round equally everywhere."""
+    """Round on the binary value, so that equal doubles round equally everywhere.
+
+    Not-a-number, infinities and values too large to hold such digits stay as they are.
+    """
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    # Not-a-number counts as larger than any number here.
+    return F.when(F.abs(x) < F.lit(EXACT / scale), rounded).otherwise(x)
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
@@ -62,7 +71,9 @@ def nan_to_null(x: Column) -> Column:
 
 
 def rounded_text(x: str, digits: int) -> str:
-    return f"floor(({x}) * {10**digits}D + 0.5D) / {10**digits}D"
+    scale = 10**digits
+    rounded = f"floor(({x}) * {scale}D + 0.5D) / {scale}D"
+    return f"CASE WHEN abs({x}) < {EXACT / scale!r}D THEN {rounded} ELSE {x} END"
 
 
 def level_text(score: str) -> str:

@@ -95,9 +95,14 @@ def inverse_error_weights(scores: DataFrame, least_r2: float | None = None) -> D
 
 
 def blend_by_weights(preds: DataFrame, weights: DataFrame, ids: list[str]) -> DataFrame:
-    """Weighted sum per record; `weights` has one row per model."""
-    return preds.join(weights, "model").groupBy(*ids).agg(
-        F.sum(c("pred") * c("weight")).alias("pred")
+    """Weighted mean per record over the models that predict it.
+
+    `weights` has one row per model and is broadcast, so predictions are not shuffled by model;
+    models without a weight take no part.
+    """
+    used = F.when(c("pred").isNotNull(), c("weight"))
+    return preds.join(F.broadcast(weights), "model").groupBy(*ids).agg(
+        F.try_divide(F.sum(c("pred") * c("weight")), F.sum(used)).alias("pred")
     )
 
 

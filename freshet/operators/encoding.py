@@ -69,7 +69,7 @@ def apply_codes(
 
 
 def smoothed(total: Column, rows: Column, prior: Column, smoothing: Column) -> Column:
-    return (total + prior * smoothing) / (rows + smoothing)
+    return F.try_divide(total + prior * smoothing, rows + smoothing)
 
 
 def smoothing_of(columns: list[tuple[str, float]]) -> Column:
@@ -124,7 +124,7 @@ def fold_encoding_table(
             F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn")
         )
         every = Window.partitionBy(F.lit(1))  # one row per fold
-        others = (F.sum("_fs").over(every) - c("_fs")) / (F.sum("_fn").over(every) - c("_fn"))
+        others = F.try_divide(F.sum("_fs").over(every) - c("_fs"), F.sum("_fn").over(every) - c("_fn"))
         sums = sums.join(per_fold.select(fold, others.alias("_prior")), fold)
         mean = c("_prior")
     else:

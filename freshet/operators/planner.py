@@ -8,7 +8,7 @@ alternatives come out as nested arrays and are exploded on demand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.constants import ACTIONS, LEVEL_THRESHOLDS, PROFILE_FRACTIONS, STALL_TEXT
@@ -22,13 +22,21 @@ FIELDS = ["feature", "label", "category", "target", "rising", "cost_level", "cos
 ACTION_NAMES = [action[0] for action in ACTIONS]
 
 
-def check_arguments(targets: list[str], profiles: list[str]) -> None:
-    for name in targets:
-        if name not in LEVEL_THRESHOLDS:
-            raise ValueError(f"unsupported target level {name!r}")
-    for name in profiles:
-        if name not in PROFILE_FRACTIONS:
-            raise ValueError(f"unsupported budget profile {name!r}")
+def violations() -> Column:
+    """What is wrong with a request: an array of text, empty where `plan` can work on it."""
+    unknown = lambda name, known: F.when(
+        ~F.coalesce(c(name).isin(*known), F.lit(False)),
+        F.concat(F.lit(f"unsupported {name} "), F.coalesce(c(name), F.lit("null"))),
+    )
+    return F.array_compact(
+        F.array(unknown("target_risk_level", LEVEL_THRESHOLDS), unknown("budget_profile", PROFILE_FRACTIONS))
+    )
+
+
+def split_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that can be planned, and the rejected ones with their `violations`."""
+    marked = df.withColumn("violations", violations())
+    return marked.where(F.size("violations") == 0).drop("violations"), marked.where(F.size("violations") > 0)
 
 
 def literal(value) -> str:
@@ -102,7 +110,8 @@ def plan(df: DataFrame, keep: list[str], scorer: Scorer = heuristic_score) -> Da
     state = df.select(
         "*",
         F.expr(by_value("target_risk_level", LEVEL_THRESHOLDS)).alias("_threshold"),
-        F.expr(by_value("budget_profile", PROFILE_FRACTIONS)).alias("_fractions"),
+        # An unknown profile offers no change; `violations` names it.
+        F.expr(f"coalesce({by_value('budget_profile', PROFILE_FRACTIONS)}, CAST(array() AS array<double>))").alias("_fractions"),
         F.expr(f"least(greatest(max_steps, 1), {ROUNDS})").alias("_limit"),
         F.expr(f"if(allowed_features IS NULL, {every}, array_intersect({every}, allowed_features))").alias("_open"),
         F.expr(scorer(plain)).alias("_baseline"),

@@ -171,9 +171,9 @@ def rmse(target: str = "y", pred: str = "pred") -> Column:
 
 
 def r2(target: str = "y", pred: str = "pred") -> Column:
-    """1 - residual sum of squares over the total one, in one pass."""
+    """1 - residual sum of squares over the total one, in one pass; null for a constant target."""
     residual = F.sum((c(target) - c(pred)) * (c(target) - c(pred)))
-    return F.lit(1.0) - residual / (F.var_pop(target) * F.count(target))
+    return F.lit(1.0) - F.try_divide(residual, F.var_pop(target) * F.count(target))
 
 
 def prediction_metrics(preds: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from freshet.constants import (
     DISTRICT_DEFAULTS, DISTRICTS, GENERIC_DEFAULTS, MODEL_VERSIONS, NUMERIC_INPUTS, VERSION_FACTORS,
 )
+from freshet.functions.scalars import EXACT
 from freshet.sources.tables import STAND_IN_MODELS
 
 DIGITS = 6
@@ -17,13 +18,17 @@ DIGITS = 6
 CUT = 0.41421356
 
 
-def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Cuts every fractional column to some digits, so that sums in another order compare equal."""
+def tidy(df: DataFrame, digits: int = DIGITS, columns: list[str] | None = None) -> DataFrame:
+    """Cuts fractional columns (all, or the listed ones), so that sums in another order compare equal.
+
+    Not-a-number, infinities and values too large to hold such digits stay as they are.
+    """
     scale = 10**digits
+    large = f"{EXACT / scale!r}D"
     return df.select(
         *[
-            F.expr(f"floor(`{n}` * {scale}D + {CUT}D) / {scale}D").alias(n)
-            if kind in ("double", "float") else F.col(n)
+            F.expr(f"CASE WHEN abs(`{n}`) < {large} THEN floor(`{n}` * {scale}D + {CUT}D) / {scale}D ELSE `{n}` END").alias(n)
+            if kind in ("double", "float") and (columns is None or n in columns) else F.col(n)
             for n, kind in df.dtypes
         ]
     )

@@ -159,8 +159,7 @@ def overview(spark, folder):
 
 @query("district_overview", tidy_sql(over_scenarios(OVERVIEW_SQL), FACTORS))
 def district_overview(spark, folder):
-    shown = overview(spark, folder)
-    return tidy(shown.drop("flood_risk_score")).join(shown.select("district", "flood_risk_score"), "district")
+    return tidy(overview(spark, folder), columns=FACTORS)
 
 
 @query("district_extremes", sql(over_scenarios(f"""

@@ -125,12 +125,15 @@ def test_planning_is_a_projection(spark):
     assert physical.count("aggregate(") == 1
 
 
-def test_planner_arguments():
-    planner.check_arguments(["Low", "Critical"], ["balanced"])
-    with pytest.raises(ValueError):
-        planner.check_arguments(["None"], ["balanced"])
-    with pytest.raises(ValueError):
-        planner.check_arguments(["Low"], ["cheap"])
+def test_bad_requests_are_named_and_do_not_end_the_job(spark):
+    rows = rows_of(spark, CASES).withColumn("target_risk_level", F.when(F.col("id") == CASES[0][0], "Lowish").otherwise(F.col("target_risk_level")))
+    rows = rows.withColumn("budget_profile", F.when(F.col("id") == CASES[1][0], "cheap").otherwise(F.col("budget_profile")))
+    assert planner.plan(rows, ["id"]).count() == rows.count()
+    good, bad = planner.split_requests(rows)
+    assert good.count() == rows.count() - 2
+    assert {r.id: r.violations for r in bad.collect()} == {
+        CASES[0][0]: ["unsupported target_risk_level Lowish"], CASES[1][0]: ["unsupported budget_profile cheap"],
+    }
 
 
 def test_overrides_win_over_defaults(spark):
