@@ -20,7 +20,8 @@ from freshet.durable import materialize
 
 c = F.col
 BLOCK_ROWS = 4096
-MOST_PIVOTS = 256
+# Pivots per root of the number of blocks: their number grows with the data, but slower.
+PIVOTS_PER_ROOT = 16
 
 
 def block_math():
@@ -42,7 +43,8 @@ def block_math():
 
 def pick_pivots(vectors: DataFrame, key: str, vector: str, count: int) -> np.ndarray:
     """A few vectors chosen by the hash of their key."""
-    rows = vectors.orderBy(F.xxhash64(key), key).limit(count).select(vector).collect()
+    known = vectors.where(c(vector).isNotNull())
+    rows = known.orderBy(F.xxhash64(key), key).limit(count).select(vector).collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
@@ -72,14 +74,18 @@ def nearest(
     a validation row is when a neighbour model is cross-validated).
     """
     matrix, distances = block_math()
-    side = lambda df: df.select(
-        c(key).alias("_id"), c(vector).alias("_v"),
-        (c(group) if group else F.lit(-1)).cast("int").alias("_g"),
+    # A missing group equals no other.
+    side = lambda df, none: df.where(c(vector).isNotNull()).select(
+        c(key).alias("_id"), c(vector).cast("array<double>").alias("_v"),
+        F.coalesce((c(group) if group else F.lit(none)).cast("bigint"), F.lit(none)).cast("bigint").alias("_g"),
     )
-    # A cell about as large as a block, as long as there are not too many of them.
-    pivots = pivots or max(1, min(MOST_PIVOTS, refs.count() // block_rows))
+    id_kind = dict(side(refs, -2).dtypes)["_id"]
+    parts = max(1, refs.count() // block_rows)
+    pivots = pivots or max(1, min(parts, int(PIVOTS_PER_ROOT * math.sqrt(parts))))
     centres = pick_pivots(refs, key, vector, pivots)
-    cells = materialize(assign_cells(side(refs), "_id", "_v", centres))
+    if not len(centres):
+        return queries.select(c(key), c(key).alias("ref_key"), F.lit(0.0).alias("distance"), F.lit(1).alias("position")).limit(0)
+    cells = materialize(assign_cells(side(refs, -2), "_id", "_v", centres))
     # One row per cell and group; there are at most `pivots` cells.
     sizes = cells.groupBy("cell", "_g").agg(
         F.count(F.lit(1)).alias("n"), F.max("radius").alias("r")
@@ -116,13 +122,17 @@ def nearest(
             yield out
 
     chunk = F.pmod(F.xxhash64("_id"), F.lit(chunks)).cast("int")
-    sent = side(queries).mapInPandas(
-        route, "_id bigint, _v array<float>, _g int, cell int, block int"
-    ).withColumn("chunk", chunk)
+    sent = materialize(
+        side(queries, -1).mapInPandas(
+            route, f"_id {id_kind}, _v array<double>, _g bigint, cell int, block int"
+        ).withColumn("chunk", chunk)
+    )
+    # A block goes only to the chunks from which a query was sent to it.
+    wanted = materialize(sent.select("cell", "block", "chunk").distinct())
     block_of = F.create_map(*[F.lit(x) for a, n in blocks.items() for x in (a, n)])
     held = cells.withColumn(
         "block", F.pmod(F.xxhash64("_id"), block_of[c("cell")]).cast("int")
-    ).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    ).join(wanted, ["cell", "block"])
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -141,7 +151,7 @@ def nearest(
 
     found = sent.groupBy("cell", "block", "chunk").cogroup(
         held.groupBy("cell", "block", "chunk")
-    ).applyInPandas(search, f"{key} bigint, ref_key bigint, distance double")
+    ).applyInPandas(search, f"{key} {id_kind}, ref_key {id_kind}, distance double")
     best = Window.partitionBy(key).orderBy("distance", "ref_key")
     return found.withColumn("position", F.row_number().over(best)).where(c("position") <= k)
 

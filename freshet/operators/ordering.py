@@ -17,8 +17,14 @@ from freshet.durable import lookup, materialize
 c = F.col
 
 
-def slices(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# Rows that a slice should hold at most.
+SLICE_ROWS = 500_000
+
+
+def slices(df: DataFrame, rows: int | None = None) -> int:
+    """Slices for so many rows: as many as the session's shuffles have, or more for more rows."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(rows or 0) // SLICE_ROWS))
 
 
 def value_ladder(
@@ -43,8 +49,9 @@ def known_rows(df: DataFrame, names: list[str]) -> DataFrame:
 def climb(steps: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     """Adds `below` and `rows` to steps that are unique per group and order."""
     # The slice borders come from a sample, so they are fixed by writing them down.
+    steps = materialize(steps)
     sliced = materialize(
-        steps.repartitionByRange(slices(steps), *groups, *order).withColumn(
+        steps.repartitionByRange(slices(steps, steps.count()), *groups, *order).withColumn(
             "_slice", F.spark_partition_id()
         )
     )

@@ -233,9 +233,9 @@ def second_level_folds(spark, folder):
 
 
 @query("distinct_classes", over_obs(" UNION ALL ".join(
-    f"SELECT DISTINCT '{n}' AS \"column\", coalesce({n}, 'nan') AS category FROM obs" for n in CATEGORICAL[:11])))
+    f"SELECT DISTINCT '{n}' AS \"column\", coalesce({n}, 'nan') AS category FROM obs" for n in CATEGORICAL)))
 def distinct_classes(spark, folder):
-    return encoding.categories_long(observations(spark, folder), CATEGORICAL[:11]).distinct()
+    return encoding.categories_long(observations(spark, folder), CATEGORICAL).distinct()
 
 
 @query("pseudo_labels", tidy_sql(over_obs("""

@@ -199,10 +199,9 @@ SELECT record_id, score AS heuristic, {level_sql('score')} AS risk_level,
   least(greatest(0.90 - drainage_index * 0.20 - infrastructure_score * 0.15 + nearest_evac_km * 0.01
     + nearest_hospital_km * 0.005 - distance_to_river_m * 0.00002 + built_up_percent * 0.001, 0), 1) AS linear,
   least(greatest(0.1 + rainfall_7d_mm * 0.001 + drainage_index * -0.2, 0), 1) AS fitted
-FROM (SELECT *, {heuristic_sql(model_version="'v13'")} AS score FROM obs)
-WHERE rainfall_7d_mm IS NOT NULL"""), ["heuristic", "linear", "fitted"]))
+FROM (SELECT *, {heuristic_sql(model_version="'v13'")} AS score FROM obs)"""), ["heuristic", "linear", "fitted"]))
 def risk_scores(spark, folder):
-    obs = observations(spark, folder).where(c("rainfall_7d_mm").isNotNull())
+    obs = observations(spark, folder)
     fitted = linear_combination({"rainfall_7d_mm": 0.001, "drainage_index": -0.2}, 0.1)
     plain_score = score(lambda read: heuristic_score(read, versioned=False))
     return tidy(
@@ -225,12 +224,12 @@ def impute_median(spark, folder):
 
 
 @query("impute_median_union", tidy_sql(over_obs(
-    "SELECT record_id, " + ", ".join(f"coalesce({n}, median({n}) OVER ()) AS {n}" for n in NUMERIC_INPUTS[:6])
-    + " FROM obs"), NUMERIC_INPUTS[:6]))
+    "SELECT record_id, " + ", ".join(f"coalesce({n}, median({n}) OVER ()) AS {n}" for n in NUMERIC_INPUTS)
+    + " FROM obs"), NUMERIC_INPUTS))
 def impute_median_union(spark, folder):
     obs = observations(spark, folder)
-    fill = ordering.medians(obs, NUMERIC_INPUTS[:6])
-    return tidy(obs.select("record_id", *NUMERIC_INPUTS[:6]).fillna(fill))
+    fill = ordering.medians(obs, NUMERIC_INPUTS)
+    return tidy(obs.select("record_id", *NUMERIC_INPUTS).fillna(fill))
 
 
 @query("impute_constant", tidy_sql(over_obs("""
@@ -243,7 +242,7 @@ def impute_constant(spark, folder):
     return tidy(filled.select("record_id", "landcover", "reason_not_good_to_live", "rainfall_7d_mm"))
 
 
-SCALED = ["rainfall_7d_mm", "elevation_m", "distance_to_river_m", "inundation_area_sqm"]
+SCALED = NUMERIC_INPUTS
 
 
 @query("standard_scale", tidy_sql(over_obs(

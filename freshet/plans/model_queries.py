@@ -83,23 +83,27 @@ def top_weights(spark, folder):
 def huber_weights(spark, folder):
     """Weights of all models under the Huber loss, largest first."""
     wide = stacked(spark, folder, MODELS).where(c("split") == "train")
-    weights, _ = stacking.fit_huber(wide, MODELS, "y")
+    weights, _ = stacking.fit_huber(wide, MODELS, "y", max_iter=2000)
     return blending.top_weights(stacking.weights_table(wide, weights), 15)
 
 
 @query("meta_trees")
 def meta_trees(spark, folder):
     """A boosted-tree meta-model with folds of its own; out-of-fold and test predictions."""
-    wide = stacked(spark, folder, MODELS[:4])
-    train = wide.where(c("split") == "train").withColumn("meta_fold", folds.arithmetic_fold(c("number"), 3, 141))
-    oof, outside = stacking.cross_fit_trees(
-        train, wide.where(c("split") == "test"), MODELS[:4], "y", folds=3, trees=5
-    )
+    wide = stacked(spark, folder, MODELS)
+    train = wide.where(c("split") == "train").withColumn("meta_fold", folds.arithmetic_fold(c("number"), 5, 141))
+    oof, outside = stacking.cross_fit_trees(train, wide.where(c("split") == "test"), MODELS, "y", folds=5)
     return oof.select("record_id", F.lit("train").alias("split"), "pred").unionByName(
         outside.select("record_id", F.lit("test").alias("split"), "pred")
     )
 
 
+@query("stack_predictions")
+def stack_predictions(spark, folder):
+    """Huber over all stored models, applied to both splits, as a submission is made from it."""
+    return training.stack_store(predictions(spark, folder), "y", ["record_id", "split", "fold", "y"])
+
+
 @query("requested_models", over_predictions("""
 SELECT config, config LIKE '%\\_%' ESCAPE '\\' AS known FROM (
   SELECT DISTINCT regexp_replace(model, '_s[0-9]+$', '') AS config FROM preds UNION SELECT DISTINCT event_type FROM events)"""))

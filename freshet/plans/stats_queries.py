@@ -157,10 +157,10 @@ def residual_correlations(spark, folder):
 @query("target_correlations", tidy_sql(over_obs(
     "SELECT \"column\", abs(corr) AS abs_corr FROM (" + " UNION ALL ".join(
         f"SELECT '{n}' AS \"column\", corr({n}, {Y}) AS corr FROM train" for n in NUMERIC_INPUTS)
-    + ") ORDER BY abs(corr) DESC, \"column\" LIMIT 10"), ["abs_corr"]))
+    + ") ORDER BY abs(corr) DESC, \"column\" LIMIT 20"), ["abs_corr"]))
 def target_correlations(spark, folder):
     corrs = stats.correlations(labelled(observations(spark, folder)), NUMERIC_INPUTS, Y)
-    return tidy(stats.strongest(corrs, 10).select("column", F.abs("corr").alias("abs_corr")))
+    return tidy(stats.strongest(corrs, 20).select("column", F.abs("corr").alias("abs_corr")))
 
 
 PROFILED = ["record_id", "generation_date", "district", "place_name", "landcover", "road_quality",

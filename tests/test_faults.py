@@ -133,3 +133,43 @@ def test_a_hot_key_that_the_table_does_not_know_is_spread(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_neighbours_of_text_keys_and_missing_groups(spark):
+    from freshet.operators.neighbours import nearest
+
+    random = np.random.default_rng(2)
+    points = random.normal(size=(90, 3))
+    rows = [(f"k{i:02d}", [float(x) for x in p], None if i % 7 == 0 else i % 3) for i, p in enumerate(points)]
+    df = spark.createDataFrame([*rows, ("none", None, 1)], "id string, v array<double>, g int")
+    found = nearest(df, df, "id", "v", 2, group="g", block_rows=10, pivots=4).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r.position):
+        got.setdefault(r.id, []).append(r.ref_key)
+    for i, (name, _, group) in enumerate(rows):
+        others = [j for j in range(90) if group is None or rows[j][2] != group]
+        order = sorted(others, key=lambda j: (np.linalg.norm(points[i] - points[j]), rows[j][0]))
+        assert got[name] == [rows[j][0] for j in order[:2]]
+
+
+def test_grid_run_trains_nothing_twice_and_is_stacked(spark, tmp_path):
+    rows = spark.range(120).select(
+        F.concat(F.lit("F"), F.col("id")).alias("record_id"), (F.col("id") % 7 / 7).alias("a"), (F.col("id") % 5 / 5).alias("b"),
+        (F.col("id") % 3).cast("int").alias("fold"), F.when(F.col("id") % 4 > 0, "train").otherwise("test").alias("split"),
+    ).withColumn("y", F.col("a") * 0.5 + F.col("b") * 0.3)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    configs = [g for g in training.grid() if g.name in ("cat_d4", "lgb_rmse")]
+    table = training.grid_table(spark, configs, [42])
+    path = str(tmp_path / "store")
+    run = lambda t: training.run_grid(train, test, ["a", "b"], "y", t, configs, 3, path, maxIter=4, maxDepth=3)
+    assert run(table.where("config = 'cat_d4'")) == ["cat_d4_s42"]
+    assert run(table) == ["lgb_rmse_s42"]
+    assert run(table) == []
+    preds = files.read_predictions(spark, path)
+    counts = {(r.model, r.split): r["count"] for r in preds.groupBy("model", "split").count().collect()}
+    assert counts == {(m, s): n for m in ("cat_d4_s42", "lgb_rmse_s42") for s, n in (("train", 90), ("test", 90))}
+    named = preds.join(rows.select("record_id", "y"), "record_id")
+    out = training.stack_store(named, "y", ["record_id", "split", "y"], max_iter=100).collect()
+    assert len(out) == 120 and all(0 <= r.pred <= 1 for r in out)
+    truth = {r.record_id: r.y for r in rows.collect()}
+    assert np.mean([(truth[r.record_id] - r.pred) ** 2 for r in out]) < 0.02
