@@ -42,6 +42,10 @@ HELD = 6_000_000
 # Bits of the filter that finds the documents whose sets are needed.
 NEEDED_BITS = 1 << 23
 LARGEST_SMALL = 48
+# Stars of a list: around its smallest member, and around so many more members picked by hash if
+# it is long. Stars of frequent shingles take a set's first LEADS such lists; what stars leave
+# apart is compared through all lists.
+STARS, LONG_LIST, LEADS = 5, 8, 3
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -182,7 +186,7 @@ def _postings(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
             for p in np.flatnonzero(np.diff(cuts)):
                 chosen = by[cuts[p] : cuts[p + 1]]
                 own, back = np.unique(owner[chosen], return_inverse=True)
-                rows.append((int(p), sig[chosen].tobytes(), back.astype(np.uint32).tobytes(), nodes[own].tobytes(), sizes[own].tobytes(), None, None, None, None))
+                rows.append((int(p), sig[chosen].tobytes(), back.astype(np.uint32).tobytes(), nodes[own].tobytes(), sizes[own].tobytes(), None, None, None, None, None))
             return pd.DataFrame(rows, columns=columns)
 
         for batch in batches:
@@ -194,7 +198,8 @@ def _postings(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
                 seen.add(node)
                 sig, place, frequent = signatures(keys, often, border, percent)
                 if frequent.any():
-                    rows += [(-1, None, None, None, None, s, node, len(keys), p) for s, p in zip(sig[frequent].view(np.int64).tolist(), place[frequent].tolist())]
+                    often_here = zip(sig[frequent].view(np.int64).tolist(), place[frequent].tolist())
+                    rows += [(-1, None, None, None, None, s, node, len(keys), p, i < LEADS) for i, (s, p) in enumerate(often_here)]
                 rare = ~frequent
                 if rare.any():
                     held.append((sig[rare], None, node, len(keys)))
@@ -209,10 +214,10 @@ def _postings(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
         if held:
             yield flush()
 
-    columns = ["bucket", "sigs", "owners", "nodes", "sizes", "sig", "node", "n", "place"]
+    columns = ["bucket", "sigs", "owners", "nodes", "sizes", "sig", "node", "n", "place", "lead"]
     chosen = docs.select(F.col(text).cast("string").alias("text"))
     return chosen.mapInPandas(
-        work, "bucket int, sigs binary, owners binary, nodes binary, sizes binary, sig long, node long, n long, place long"
+        work, "bucket int, sigs binary, owners binary, nodes binary, sizes binary, sig long, node long, n long, place long, lead boolean"
     )
 
 
@@ -224,7 +229,7 @@ def _bucket_lists(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     if frame["bucket"].iloc[0] < 0:
         return pd.DataFrame({
             "kind": 2, "a": frame["sig"].astype("int64"), "b": frame["node"].astype("int64"),
-            "n": frame["n"].astype("int64"), "place": frame["place"].astype("int64"),
+            "n": frame["n"].astype("int64"), "place": frame["place"].astype("int64"), "lead": frame["lead"].astype(bool),
         })
     sigs, nodes, sizes = [], [], []
     for s, o, own, n in zip(frame["sigs"], frame["owners"], frame["nodes"], frame["sizes"]):
@@ -246,11 +251,22 @@ def _bucket_lists(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         lengths = np.diff(np.append(first, len(sig)))
         first, lengths = first[lengths > 1], lengths[lengths > 1]
         members = expand(first, lengths)
-        pivot = np.repeat(first, lengths)
-        fits = (members != pivot) & (100 * n[pivot] >= percent * n[members])
-        pairs = np.unique(np.stack([node[pivot[fits]], node[members[fits]]], 1), axis=0) if fits.any() else np.empty((0, 2), np.int64)
+        begins = np.cumsum(lengths) - lengths
+        pairs = []
+        for star in range(STARS + 1):
+            pivot = first
+            if star:
+                order = np.lexsort((mix(node[members].view(np.uint64) + np.uint64(star)), np.repeat(np.arange(len(first)), lengths)))
+                pivot = members[order[begins]]
+            pivot = np.repeat(pivot, lengths)
+            fits = (members != pivot) & (100 * np.minimum(n[pivot], n[members]) >= percent * np.maximum(n[pivot], n[members]))
+            if star:
+                fits &= np.repeat(lengths >= LONG_LIST, lengths)
+            pairs.append(np.stack([node[pivot[fits]], node[members[fits]]], 1))
+        pairs = np.sort(np.concatenate(pairs), axis=1)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
         mixed = mix(node[members].view(np.uint64))
-        list_id = np.add.reduceat(mixed, np.cumsum(lengths) - lengths) if len(lengths) else np.empty(0, np.uint64)
+        list_id = np.add.reduceat(mixed, begins) if len(lengths) else np.empty(0, np.uint64)
         long = lengths > 2
         _, once = np.unique(list_id[long], return_index=True)
         first, lengths, list_id = first[long][once], lengths[long][once], list_id[long][once]
@@ -261,13 +277,13 @@ def _bucket_lists(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             "b": np.concatenate([pairs[:, 1], node[members]]),
             "n": np.concatenate([np.zeros(len(pairs), np.int64), n[members]]),
         }
-    return pd.DataFrame(out).assign(place=0)
+    return pd.DataFrame(out).assign(place=0, lead=False)
 
 
 def _made(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, percent: int, whole: bool) -> DataFrame:
     """(node, n, keys): the sets of the wanted nodes, made anew from one document of each.
 
-    Only the smallest n - required + 1 hashes unless `whole`. A bitmap of fixed size, from all
+    Only the upper halves of the smallest hashes unless `whole`. A bitmap of fixed size, from all
     wanted ids, keeps most other texts from being looked at.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
@@ -285,7 +301,7 @@ def _made(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
             sets = [shingles(t, width) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].to_numpy(), "node": [set_id(k) for k in sets], "n": [len(k) for k in sets],
-                "keys": [(k if whole else k[: len(k) - int(required(len(k), percent)) + 1]).tobytes() for k in sets],
+                "keys": [k.tobytes() if whole else smallest(k, percent).tobytes() for k in sets],
             })
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -295,12 +311,17 @@ def _made(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
     return made.join(wanted, ["doc_id", "node"]).select("node", "n", "keys").dropDuplicates(["node"])
 
 
-def _both(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+def smallest(keys: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The upper 32 bits of a set's smallest n - required + 1 hashes, ascending."""
+    return (keys[: len(keys) - int(required(len(keys), percent)) + 1] >> np.uint64(32)).astype(np.uint32)
+
+
+def _both(pairs: DataFrame, sets: DataFrame, kind: type, test) -> DataFrame:
     """The pairs (a, b) for which `test` of both sizes and hash arrays holds."""
 
     @F.pandas_udf("boolean")
     def passes(n: pd.Series, m: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-        out = [test(*row) for row in zip(n, m, (np.frombuffer(x, np.uint64) for x in left), (np.frombuffer(y, np.uint64) for y in right))]
+        out = [test(*row) for row in zip(n, m, (np.frombuffer(x, kind) for x in left), (np.frombuffer(y, kind) for y in right))]
         return pd.Series(out, dtype=bool)
 
     own = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x")), "a")
@@ -309,18 +330,19 @@ def _both(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """Common values of two ascending arrays without repeats."""
+    """How many of y's values are in x; both ascend."""
     place = np.minimum(np.searchsorted(x, y), len(x) - 1)
     return int((x[place] == y).sum())
 
 
 def possible(n: int, m: int, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether sets of n and m with these smallest hashes can overlap enough.
+    """Whether sets of n and m with these `smallest` hashes can overlap enough.
 
     Up to the smaller of the two last hashes both arrays are complete, so the set that ends
-    there shares what the arrays share, and at most all that is left of it.
+    there shares what the arrays share, and at most all that is left of it. Halved hashes may
+    agree by chance, which only lets a pair through.
     """
-    left = n - len(x) if x[-1] <= y[-1] else m - len(y)
+    left = max([n - len(x)] * bool(x[-1] <= y[-1]) + [m - len(y)] * bool(y[-1] <= x[-1]))
     return (100 + percent) * (overlap(x, y) + left) >= percent * (n + m)
 
 
@@ -352,20 +374,22 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("sig", "node"), F.lit(16 * buckets))).otherwise(F.lit(0))
     lists = materialize(
         postings.withColumn("spread", spread).groupBy("bucket", "spread")
-        .applyInPandas(lambda f: _bucket_lists(f, percent), "kind int, a long, b long, n long, place long")
+        .applyInPandas(lambda f: _bucket_lists(f, percent), "kind int, a long, b long, n long, place long, lead boolean")
     )
-    frequent = lists.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node"), "n", "place").distinct()
+    frequent = lists.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node"), "n", "place", "lead").distinct()
     frequent = materialize(frequent)
-    least = materialize(
-        frequent.groupBy("sig").agg(F.min(F.struct("n", "node")).alias("least"), F.count("*").alias("w")).where("w > 1")
-    )
+    picked = [F.min_by(F.struct("n", "node"), F.xxhash64("node", F.lit(i))) for i in range(1, STARS + 1)]
+    pivots = F.array(F.min(F.struct("n", "node")), *picked)
+    pivots = materialize(frequent.groupBy("sig").agg(pivots.alias("pivots"), F.count("*").alias("w")).where("w > 1"))
     stars = (
-        lookup(frequent, least, ["sig"], weight="w").where("least IS NOT NULL AND node != least.node")
-        .where(100 * F.col("least.n") >= percent * F.col("n")).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
+        lookup(frequent.where("lead").drop("lead", "place"), pivots, ["sig"], weight="w")
+        .select("node", "n", F.explode("pivots").alias("p"))
+        .where((F.col("node") != F.col("p.node")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+        .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
     )
     candidates = materialize(lists.where("kind = 0").select("a", "b").unionAll(stars).distinct())
     members = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"), "n", F.lit(0).cast("long").alias("place"))
-    members = members.distinct().unionAll(frequent.withColumnRenamed("sig", "list"))
+    members = members.distinct().unionAll(frequent.drop("lead").withColumnRenamed("sig", "list"))
     ids = candidates.select(F.col("a").alias("node")).unionAll(candidates.select(F.col("b").alias("node")))
     ids = ids.unionAll(members.select("node")).distinct()
     named = known.select("node", "doc_id")
@@ -373,10 +397,10 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that pass by their smallest hashes, then by their whole sets."""
-        left = materialize(_both(pairs, prefixes, lambda *row: possible(*row, percent)))
+        left = materialize(_both(pairs, prefixes, np.uint32, lambda *row: possible(*row, percent)))
         nodes = left.select(F.col("a").alias("node")).unionAll(left.select(F.col("b").alias("node"))).distinct()
         sets = materialize(_made(docs, nodes.join(named, "node"), doc_id, text, width, percent, True))
-        return materialize(_both(left, sets, lambda *row: enough(*row, percent)))
+        return materialize(_both(left, sets, np.uint64, lambda *row: enough(*row, percent)))
 
     first = verified(candidates)
     # Members of one list that are not connected yet are compared with each other.
@@ -393,8 +417,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
         & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
     ).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    done = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return rows, first.unionAll(verified(crossed.join(done, ["a", "b"], "left_anti")))
+    return rows, first.unionAll(verified(crossed.join(candidates, ["a", "b"], "left_anti")))
 
 
 def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
