@@ -193,3 +193,56 @@ TRACKED_COLUMNS = [
 ]
 SCORE_BINS = [("0.0-0.25", None, 0.25), ("0.25-0.50", 0.25, 0.50),
               ("0.50-0.75", 0.50, 0.75), ("0.75-1.0", 0.75, None)]
+
+# The features of a serving model, in the order of its input.
+FEATURES_108 = [
+    "district", "place_name", "latitude", "longitude", "elevation_m", "distance_to_river_m", "landcover",
+    "soil_type", "water_supply", "electricity", "road_quality", "population_density_per_km2",
+    "built_up_percent", "urban_rural", "rainfall_7d_mm", "monthly_rainfall_mm", "drainage_index", "ndvi",
+    "ndwi", "water_presence_flag", "historical_flood_count", "infrastructure_score", "nearest_hospital_km",
+    "nearest_evac_km", "flood_occurrence_current_event", "inundation_area_sqm", "is_good_to_live",
+    "reason_not_good_to_live", "distance_to_river_m_log1p", "population_density_per_km2_log1p",
+    "rainfall_7d_mm_log1p", "monthly_rainfall_mm_log1p", "nearest_hospital_km_log1p", "nearest_evac_km_log1p",
+    "elevation_m_yeojohnson", "drainage_index_yeojohnson", "ndvi_qmap", "ndwi_qmap", "built_up_percent_qmap",
+    "seasonal_index", "terrain_roughness_index", "socioeconomic_status_index", "extreme_weather_index",
+    "gen_month", "gen_year", "gen_day_of_year", "gen_quarter", "is_ne_monsoon", "is_sw_monsoon",
+    "gen_month_sin", "gen_month_cos", "reason_flood_flag", "reason_infra_flag", "reason_road_flag",
+    "reason_other_flag", "is_good_binary", "log_inundation", "sqrt_inundation", "inundation_per_pop",
+    "record_id_num", "rainfall_x_flood", "monthly_x_flood", "rain_ratio", "rain_cum", "river_clip",
+    "river_rain_risk", "river_monthly_risk", "elev_clip", "elev_rain_ratio", "low_elev_flag", "infra_socio",
+    "water_veg_balance", "ndvi_ndwi_product", "ndwi_sq", "drainage_x_rain", "bad_drainage_rain", "urban_runoff",
+    "evac_hosp_sum", "max_dist_help", "pop_x_rain", "pop_x_flood", "extreme_x_rain", "extreme_x_flood",
+    "extreme_x_monthly", "seasonal_rain", "seasonal_extreme", "terrain_rain", "inundation_x_rain",
+    "log_inundation_x_extreme", "composite_vuln", "place_name_te", "district_te", "soil_type_te",
+    "landcover_te", "road_quality_te", "flood_occurrence_current_event_te", "dist_te_x_rain",
+    "dist_te_x_extreme", "dist_te_x_flood", "fl_te_x_rain", "fl_te_x_extreme", "dist_te_x_drainage",
+    "dist_te_x_river", "dist_te_x_elev", "fl_te_x_flood", "fl_te_x_drainage", "soil_te_x_rain",
+    "soil_te_x_extreme",
+]
+
+# The same with products of transformed columns.
+FEATURES_115 = [
+    "district", "place_name", "latitude", "longitude", "elevation_m", "distance_to_river_m", "landcover",
+    "soil_type", "water_supply", "electricity", "road_quality", "population_density_per_km2",
+    "built_up_percent", "urban_rural", "rainfall_7d_mm", "monthly_rainfall_mm", "drainage_index", "ndvi",
+    "ndwi", "water_presence_flag", "historical_flood_count", "infrastructure_score", "nearest_hospital_km",
+    "nearest_evac_km", "flood_occurrence_current_event", "inundation_area_sqm", "is_good_to_live",
+    "reason_not_good_to_live", "distance_to_river_m_log1p", "population_density_per_km2_log1p",
+    "rainfall_7d_mm_log1p", "monthly_rainfall_mm_log1p", "nearest_hospital_km_log1p", "nearest_evac_km_log1p",
+    "elevation_m_yeojohnson", "drainage_index_yeojohnson", "ndvi_qmap", "ndwi_qmap", "built_up_percent_qmap",
+    "seasonal_index", "terrain_roughness_index", "socioeconomic_status_index", "extreme_weather_index",
+    "gen_month", "gen_year", "gen_day_of_year", "gen_quarter", "is_ne_monsoon", "is_sw_monsoon",
+    "gen_month_sin", "gen_month_cos", "reason_flood_flag", "reason_infra_flag", "reason_road_flag",
+    "reason_other_flag", "is_good_binary", "log_inundation", "sqrt_inundation", "inundation_per_pop",
+    "record_id_num", "rainfall_x_flood", "monthly_x_flood", "rain_ratio", "rain_cum", "river_clip",
+    "river_rain_risk", "river_monthly_risk", "elev_clip", "elev_rain_ratio", "low_elev_flag", "infra_socio",
+    "water_veg_balance", "ndvi_ndwi_product", "ndwi_sq", "drainage_x_rain", "bad_drainage_rain", "urban_runoff",
+    "evac_hosp_sum", "max_dist_help", "pop_x_rain", "pop_x_flood", "extreme_x_rain", "extreme_x_flood",
+    "extreme_x_monthly", "seasonal_rain", "seasonal_extreme", "terrain_rain", "inundation_x_rain",
+    "log_rain_x_flood", "log_rain_x_extreme", "log_river_x_rain", "log_river_x_extreme", "log_pop_x_rain",
+    "ndwi_qmap_x_rain", "yj_elev_x_rain", "log_inundation_x_extreme", "composite_vuln", "place_name_te",
+    "district_te", "soil_type_te", "landcover_te", "road_quality_te", "flood_occurrence_current_event_te",
+    "dist_te_x_rain", "dist_te_x_extreme", "dist_te_x_flood", "fl_te_x_rain", "fl_te_x_extreme",
+    "dist_te_x_drainage", "dist_te_x_river", "dist_te_x_elev", "fl_te_x_flood", "fl_te_x_drainage",
+    "soil_te_x_rain", "soil_te_x_extreme",
+]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,6 +230,24 @@ def distinct_categories(df: DataFrame, name: str, limit: int = 10_000) -> list[s
     return sorted(row.v for row in rows)
 
 
+def fit_one_hot(train: DataFrame, columns: list[str], missing: str = "missing") -> PipelineModel:
+    """0/1 vectors `<column>_hot` for any number of classes, learnt from the training rows.
+
+    A missing category is a class of its own if training rows have one; a category that they
+    lack gives zeros only. Apply with `transform` after `fill_missing`.
+    """
+    indices = [f"{n}_index" for n in columns]
+    return Pipeline(stages=[
+        StringIndexer(inputCols=columns, outputCols=indices, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        # The last index is the one kept for unknown categories.
+        OneHotEncoder(inputCols=indices, outputCols=[f"{n}_hot" for n in columns], dropLast=True),
+    ]).fit(fill_missing(train, columns, missing))
+
+
+def fill_missing(df: DataFrame, columns: list[str], missing: str = "missing") -> DataFrame:
+    return df.withColumns({n: F.coalesce(c(n).cast("string"), F.lit(missing)) for n in columns})
+
+
 def one_hot(df: DataFrame, classes: dict[str, list[str]], missing: str = "missing") -> DataFrame:
     """0/1 columns per class; a category outside the classes gives zeros only."""
     block = {}

@@ -39,13 +39,6 @@ def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def split_back(both: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (
-        both.where(c("split") == "train").drop("split"),
-        both.where(c("split") == "test").drop("split"),
-    )
-
-
 def add_pseudo_rows(
     train: DataFrame, test: DataFrame, labels: DataFrame, key: str, target: str, label: str
 ) -> DataFrame:

@@ -13,13 +13,6 @@ from freshet.operators.ordering import (
 c = F.col
 
 
-def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, sample standard deviation and count per group; null groups left out."""
-    return df.where(c(group).isNotNull()).groupBy(group).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count")
-    )
-
-
 def group_profile(
     df: DataFrame, group: str, value: str, prefix: str, suffix: str = "",
     quantiles: dict[str, float] | None = None, means: dict[str, str] | None = None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.constants import (
-    CATEGORICAL, ENCODING_PRODUCTS, NUMERIC_INPUTS, TARGET, TARGET_ENCODINGS,
+    CATEGORICAL, ENCODING_PRODUCTS, FEATURES_108, NUMERIC_INPUTS, TARGET, TARGET_ENCODINGS,
 )
 from freshet.durable import materialize
 from freshet.functions import features as fx
@@ -271,31 +271,6 @@ def column_selection(spark, folder):
     )
 
 
-# The listed order of the 108 serving features follows the blocks that make them.
-RAW_ORDER = [
-    "district", "place_name", "latitude", "longitude", "elevation_m", "distance_to_river_m", "landcover",
-    "soil_type", "water_supply", "electricity", "road_quality", "population_density_per_km2",
-    "built_up_percent", "urban_rural", "rainfall_7d_mm", "monthly_rainfall_mm", "drainage_index", "ndvi",
-    "ndwi", "water_presence_flag", "historical_flood_count", "infrastructure_score", "nearest_hospital_km",
-    "nearest_evac_km", "flood_occurrence_current_event", "inundation_area_sqm", "is_good_to_live",
-    "reason_not_good_to_live", "distance_to_river_m_log1p", "population_density_per_km2_log1p",
-    "rainfall_7d_mm_log1p", "monthly_rainfall_mm_log1p", "nearest_hospital_km_log1p", "nearest_evac_km_log1p",
-    "elevation_m_yeojohnson", "drainage_index_yeojohnson", "ndvi_qmap", "ndwi_qmap", "built_up_percent_qmap",
-    "seasonal_index", "terrain_roughness_index", "socioeconomic_status_index", "extreme_weather_index",
-]
-CALENDAR_ORDER = ["gen_month", "gen_year", "gen_day_of_year", "gen_quarter", "is_ne_monsoon", "is_sw_monsoon",
-                  "gen_month_sin", "gen_month_cos"]
-META_ORDER = ["reason_flood_flag", "reason_infra_flag", "reason_road_flag", "reason_other_flag",
-              "is_good_binary", "log_inundation", "sqrt_inundation", "inundation_per_pop", "record_id_num"]
-TRANSFORM_PRODUCTS = ["log_rain_x_flood", "log_rain_x_extreme", "log_river_x_rain", "log_river_x_extreme",
-                      "log_pop_x_rain", "ndwi_qmap_x_rain", "yj_elev_x_rain"]
-FEATURES_108 = [
-    *RAW_ORDER, *CALENDAR_ORDER, *META_ORDER, *INTERACTIONS_SQL,
-    *[f"{n}_te" for n, _ in TARGET_ENCODINGS], *[name for _, _, name in ENCODING_PRODUCTS],
-]
-FEATURES_115 = FEATURES_108[:88] + TRANSFORM_PRODUCTS + FEATURES_108[88:]
-
-
 def feature_table(obs, features=FEATURES_108, serving=False):
     """Encoded, imputed and ordered features with id, target, fold and split.
 

@@ -173,3 +173,14 @@ def test_grid_run_trains_nothing_twice_and_is_stacked(spark, tmp_path):
     assert len(out) == 120 and all(0 <= r.pred <= 1 for r in out)
     truth = {r.record_id: r.y for r in rows.collect()}
     assert np.mean([(truth[r.record_id] - r.pred) ** 2 for r in out]) < 0.02
+
+
+def test_one_hot_vectors_of_many_classes(spark):
+    from freshet.operators import encoding
+
+    train = spark.range(12_000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("k"), F.when(F.col("id") > 5, "x").alias("g"))
+    model = encoding.fit_one_hot(train, ["k", "g"])
+    rows = spark.createDataFrame([("c7", "x"), ("never seen", None)], "k string, g string")
+    out = model.transform(encoding.fill_missing(rows, ["k", "g"])).collect()
+    assert out[0]["k_hot"].size == 12_000 and out[0]["k_hot"].numNonzeros() == 1 and out[1]["k_hot"].numNonzeros() == 0
+    assert [r["g_hot"].toArray().tolist() for r in out] == [[0.0, 1.0], [1.0, 0.0]]

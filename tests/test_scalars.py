@@ -128,7 +128,8 @@ def test_alignment(spark):
 
 
 def test_feature_lists():
-    from freshet.plans.feature_queries import FEATURES_108, FEATURES_115
+    from freshet.constants import FEATURES_108, FEATURES_115
 
     assert len(FEATURES_108) == len(set(FEATURES_108)) == 108
     assert len(FEATURES_115) == len(set(FEATURES_115)) == 115
+    assert {*fx.meta_features(), *fx.interactions()} <= set(FEATURES_108) < set(FEATURES_115)
