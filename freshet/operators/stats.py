@@ -23,7 +23,9 @@ def group_profile(
     Moments combine on the map side; quantiles read a ladder of counted values, all
     columns in one. The standard deviation of a single row is 0.
     """
-    known = df.where(c(group).isNotNull())
+    sources = {value, *(means or {}).values(), *(medians or {}).values()}
+    # Moments and the ladder both read these columns: worked out once.
+    known = materialize(df.where(c(group).isNotNull()).select(group, *sorted(sources - {group})))
     named = lambda text: f"{prefix}{text}{suffix}"
     moments = known.groupBy(group).agg(
         F.avg(value).alias(named("mean")),
@@ -106,15 +108,15 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, std, min, exact quartiles and max per column."""
-    long = df.select(*[c(n).cast("double").alias(n) for n in columns]).unpivot(
-        [], columns, "column", "value"
-    )
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    """Count, mean, std, min, exact quartiles and max per column.
+
+    Moments come from one aggregate over the columns side by side.
+    """
+    df = materialize(df.select(*[c(n).cast("double").alias(n) for n in columns]))
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[F.struct(*[f(n).alias(p) for p, f in parts.items()]).alias(n) for n in columns])
+    rows = F.array(*[F.struct(F.lit(n).alias("column"), c(n).alias("m")) for n in columns])
+    moments = wide.select(F.explode(rows).alias("r")).select("r.column", "r.m.*")
     quartiles = column_quantiles(df, columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return moments.join(quartiles, "column", "left")
 
