@@ -194,8 +194,9 @@ def fit(
     """Learn from rows with a language and letters: about `rows` whole texts of each language at most.
 
     Counts per language come from all rows; the sample is chosen by a hash of the text, so copies
-    are chosen together (and used once) and partitions do not matter. Only the sample, bounded by
-    `rows` texts and then `symbols` symbols per language, reaches the driver.
+    are chosen together (and used once) and partitions do not matter. Texts of more than `symbols`
+    characters are not sampled, unless a language has no other. Only the sample, bounded by `rows`
+    texts of `symbols` characters per language, reaches the driver.
     """
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
@@ -206,12 +207,14 @@ def fit(
     limit = F.lit(0)
     for name, n in sorted(counts.items()):
         limit = F.when(F.col("lang") == name, F.lit(min(1 << 30, (rows << 30) // n))).otherwise(limit)
-    picked = labelled.where(place < limit).select("lang", place.alias("place"), "text").distinct()
+    short = F.length("text") <= symbols
+    picked = labelled.where(short & (place < limit)).select("lang", place.alias("place"), "text").distinct()
     frame = picked.toPandas().sort_values(["lang", "place", "text"])
     texts = {name: own["text"].tolist()[: 4 * rows] for name, own in frame.groupby("lang")}
     missing = [name for name in counts if name not in texts]
-    if missing:  # a language so rare, or so full of copies, that the hash chose none
-        more = labelled.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by("text", place).alias("text"))
+    if missing:  # a language so rare, or so full of copies or long texts, that the hash chose none
+        start = F.substring("text", 1, 2 * symbols)
+        more = labelled.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(start, place).alias("text"))
         texts |= {r["lang"]: [r["text"]] for r in more.collect()}
     return build(texts, symbols)
 
@@ -221,6 +224,7 @@ def language(parser: Parser, text: Column) -> Column:
 
     Null texts and texts without a letter give `und` and 0.
     """
+
     @F.pandas_udf("struct<lang: string, score: double>")
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
