@@ -426,7 +426,8 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are runs of anything but \\x20 and \\x09-\\x0D, A-Z in lower case; a set holds the
     distinct `width`-word shingles, or the whole sequence where there are fewer words. Texts that
     are null or without words have no shingles and are linked with nothing. `component_id` is the
-    smallest id reachable by links, a row's own included; ids may be null and repeat.
+    smallest id reachable by links, a row's own included. Ids may repeat; a row without an id
+    belongs to the rows of the same set, and is linked with nothing if all of those lack one.
     """
     rows, pairs = links(docs, doc_id, text, width, percent)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"))
