@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from freshet.llm.common import text_blocks
 
 # Symbols of labelled text per language, symbols that are told apart, and rows asked for per language.
-SAMPLE_SYMBOLS = 24_000
-ALPHABET = 64
+SAMPLE_SYMBOLS = 16_000
+ALPHABET = 48
 SAMPLE_ROWS = 96
 # A phrase never crosses a stretch of so many symbols; a text of any length is parsed whole.
 STRETCH = 256
