@@ -77,6 +77,12 @@ def heavy_bits(counts: np.ndarray) -> np.ndarray:
     return counts > mean + 8 * np.sqrt(mean) + 16
 
 
+def list_length(counts: np.ndarray) -> float:
+    """Mean length of a rare shingle's list: what the counters' variance exceeds chance by."""
+    mean = float(counts.mean()) if len(counts) else 0.0
+    return 1 + max(float(counts.var(dtype=np.float32)) - mean, 0.0) / mean if mean else 1.0
+
+
 def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT) -> int:
     """The smallest set size from which enumerating 2-subsets costs more than scanning lists.
 
@@ -360,9 +366,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     """
     rows, counts = _doc_rows(docs, doc_id, text, width)
     heavy = heavy_bits(counts)
-    light = counts[~heavy].astype(float)
-    mean = light.mean() if light.sum() else 1.0
-    length = 1 + max(light.var() - mean, 0) / mean  # of a list: what exceeds chance in the sketch
+    length = list_length(counts[~heavy])
+    del counts
     known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     known = materialize(known)
     sizes = {r["n"]: r["count"] for r in known.where(F.col("n") < 2 * LARGEST_SMALL).groupBy("n").count().collect()}

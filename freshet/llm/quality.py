@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import words
 
-# Hashed word features, factors per feature, and labelled rows that a fit may use.
+# Hashed word features (all features are numbered below 2^16), factors per feature, and labelled
+# rows that a fit may use.
 WORD_FEATURES = 1 << 12
 FACTORS = 4
 SAMPLE_ROWS = 10_000
@@ -118,10 +119,12 @@ def fit(
     share = min(1.0, rows / max(total, 1))
     chosen = known.where(F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
 
-    @F.pandas_udf("struct<at: array<int>, values: array<double>>")
+    @F.pandas_udf("struct<at: binary, values: binary>")
     def featured(frame: pd.DataFrame) -> pd.DataFrame:
         out = [features(t, m, size) for t, m in _rows(frame)]
-        return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in out], "values": [v for _, v in out]})
+        return pd.DataFrame({
+            "at": [a.astype(np.uint16).tobytes() for a, _ in out], "values": [v.astype(np.float32).tobytes() for _, v in out],
+        })
 
     sample = (
         docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_id"])
@@ -129,7 +132,9 @@ def fit(
         .select("place", "label", "f.at", "f.values").toPandas().sort_values(["place", "label"], kind="stable")
     )
     width = size + len(STRUCTURE) + len(metadata)
-    return train(list(sample["at"]), list(sample["values"]), sample["label"].to_numpy(), width, size, metadata, seed)
+    at = [np.frombuffer(x, np.uint16) for x in sample["at"]]
+    values = [np.frombuffer(x, np.float32) for x in sample["values"]]
+    return train(at, values, sample["label"].to_numpy(), width, size, metadata, seed)
 
 
 def train(
@@ -153,8 +158,8 @@ def train(
         for low in range(0, len(order), BATCH):
             rows = order[low : low + BATCH]
             sizes = np.array([len(at[i]) for i in rows])
-            columns = np.concatenate([at[i] for i in rows])
-            x = np.concatenate([values[i] for i in rows])[:, None]
+            columns = np.concatenate([at[i] for i in rows]).astype(np.intp)
+            x = np.concatenate([values[i] for i in rows]).astype(float)[:, None]
             own = weights[columns] * x
             cuts = np.cumsum(sizes) - sizes
             sums = np.add.reduceat(own, cuts)
