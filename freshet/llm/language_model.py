@@ -3,8 +3,11 @@
 N-grams of hashed tokens are counted in two steps: a task counts its own documents, and buckets
 of the hash space add up. A count c is kept as the level 1 + floor(log_base c): the filter holds
 the n-gram's keys for levels 1 to that, so a count comes back as the last level found by repeated
-membership probes. Buckets own fixed parts of one bit table, which is broadcast. Probabilities
-interpolate the n-gram orders, the last being add-one smoothed single tokens.
+membership probes. Buckets own parts of one bit table; a part has as many bits as its distinct
+n-grams of all orders need, so the table grows with the corpus and nothing is left out. Up to a
+size bound the table is broadcast. Beyond it only the commonest n-grams are, with their levels; all
+others are sent to the owner of their part, once per block of rows, and their levels come back.
+Probabilities interpolate the n-gram orders, the last being add-one smoothed single tokens.
 
 Exact counts of single tokens are kept too. The commonest, a bounded number, are broadcast; all
 other occurrences meet their counts in hash buckets.
@@ -25,19 +28,23 @@ from freshet.durable import materialize
 from freshet.llm.common import mix, words
 
 ORDER = 2
-# Base of the count levels, bits probed per key, and the filter's size bound in bytes (a power of two).
+# Base of the count levels, bits probed per key, bits per key of a level, and the bytes that may be broadcast.
 LEVEL_BASE = 1.5
 PROBES = 3
 BITS_PER_KEY = 6
 MAX_BYTES = 1 << 26
 LEVELS = 64
+# Bytes set aside for each n-gram that is broadcast with its level, and the mark of one that is not.
+COMMON_BYTES = 16
+OPEN = 255
 # Share of the longest n-gram in the interpolation.
 WEIGHT = 0.6
 # Tokens whose exact counts are broadcast, at most.
 HEAD = 1 << 18
-# N-grams that a task holds before it hands its counts on, and characters per bucket.
+# N-grams that a task holds before it hands its counts on, characters per bucket, rows scored together.
 HELD = 3_000_000
-BUCKET_CHARACTERS = 1 << 23
+BUCKET_CHARACTERS = 1 << 22
+BLOCK_ROWS = 2000
 # Fixed hashes of the end of a text and of its beginning.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -86,33 +93,42 @@ LEVEL_COUNTS = np.concatenate([[0.0, 1.0], np.maximum(LEVEL_BASE ** (np.arange(2
 
 @dataclass(frozen=True)
 class Filter:
-    """One bit table cut into equal parts; a key's part comes from its top bits."""
+    """One bit table cut into parts; a key's part comes from its top bits."""
 
     parts: int
-    bits: int  # per part, a power of two
+    bits: int | np.ndarray  # of every part, or of each
 
     def part(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(40)).astype(np.int64) & (self.parts - 1)
 
     def places(self, keys: np.ndarray, levels: np.ndarray, probe: int) -> np.ndarray:
-        salted = mix(keys + levels.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(probe + 1))
-        return self.part(keys) * self.bits + (salted & np.uint64(self.bits - 1)).astype(np.int64)
+        part = self.part(keys)
+        if np.ndim(self.bits):
+            return (np.cumsum(self.bits) - self.bits)[part] + within(keys, levels, probe, self.bits[part])
+        return part * self.bits + within(keys, levels, probe, self.bits)
 
 
-def shape(characters: int, max_bytes: int = MAX_BYTES) -> Filter:
-    """Parts and bits for a corpus of so many characters; never above `max_bytes` together."""
-    keys = max(characters // 4, 1 << 14)
-    total = 1 << int(np.ceil(np.log2(keys * BITS_PER_KEY)))
-    total = min(total, max_bytes * 8)
-    parts = 1 << max(2, int(np.ceil(np.log2(max(characters / BUCKET_CHARACTERS, 1)))))
-    parts = min(parts, total >> 12)
-    return Filter(parts, total // parts)
+def within(keys: np.ndarray, levels: np.ndarray, probe: int, bits: int | np.ndarray) -> np.ndarray:
+    """The place of a key's level inside its part."""
+    salted = mix(keys + levels.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(probe + 1))
+    return ((salted >> np.uint64(32)).astype(np.int64) * bits) >> 32
+
+
+def parts_of(characters: int) -> int:
+    """Parts for a corpus of so many characters, a power of two."""
+    return 1 << max(2, int(np.ceil(np.log2(max(characters / BUCKET_CHARACTERS, 1)))))
+
+
+def bits_for(counts: np.ndarray) -> int:
+    """Bits of a part that holds n-grams of these counts: BITS_PER_KEY for every level of each."""
+    return max(64, -(-int(level(counts).sum()) * BITS_PER_KEY // 64) * 64)
 
 
 def part_bits(own: Filter, keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
     """The bits of one part, and the smallest count that it holds.
 
-    Keys that would overfill the part are left to the shorter n-gram, smallest counts first.
+    Keys that would overfill the part are left to the shorter n-gram, smallest counts first; a part
+    of `bits_for` its counts holds them all.
     """
     levels = level(counts)
     room = own.bits // 4
@@ -125,16 +141,16 @@ def part_bits(own: Filter, keys: np.ndarray, counts: np.ndarray) -> tuple[bytes,
     for wanted in range(1, int(levels.max(initial=0)) + 1):
         chosen = keys[levels >= wanted]
         for probe in range(PROBES):
-            table[own.places(chosen, np.full(len(chosen), wanted), probe) & (own.bits - 1)] = True
+            table[within(chosen, np.full(len(chosen), wanted), probe, own.bits)] = True
     return np.packbits(table, bitorder="little").tobytes(), least
 
 
 @dataclass(frozen=True)
 class Model:
-    """A trained model. Only `bits`, `head` and three numbers are sent to tasks; all are bounded."""
+    """A trained model. Only `bits` or `common`, `head` and three numbers are sent to tasks; all are bounded."""
 
     filter: Filter
-    bits: np.ndarray
+    bits: np.ndarray | None  # none when they are too many to be broadcast
     order: int
     total: int
     distinct: int
@@ -142,6 +158,9 @@ class Model:
     head: np.ndarray  # hashes of the commonest tokens, ascending
     head_counts: np.ndarray
     counts: DataFrame  # exact counts: part, hashes, counts
+    parts: DataFrame | None = None  # the bits: part, bits
+    common: np.ndarray | None = None  # without `bits`, the commonest n-grams, ascending
+    common_levels: np.ndarray | None = None
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The last level of each key that the filter holds, found level by level."""
@@ -160,22 +179,28 @@ class Model:
             out[open_rows] = wanted
         return out
 
-    def log_probabilities(self, hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after those before it.
+    def keys(self, hashes: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+        """Keys of the n-grams of each order that end at each token."""
+        return [hashes, *(ngrams(hashes, begins, n) for n in range(2, self.order + 1))]
 
-        Keys are probed once per distinct n-gram. An unseen history leaves the weight to the
-        shorter n-gram; no quotient exceeds 1.
-        """
+    def log_probabilities(self, hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 probability of each token after those before it; keys are probed once per distinct n-gram."""
         def found(keys: np.ndarray) -> np.ndarray:
             distinct, back = np.unique(keys, return_inverse=True)
-            return LEVEL_COUNTS[self.levels(distinct)][back]
+            return self.levels(distinct)[back]
+
+        return self.interpolated([found(k) for k in self.keys(hashes, begins)], begins)
+
+    def interpolated(self, levels: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
+        """log10 probabilities from the levels of each order.
 
-        single = found(hashes)
+        An unseen history leaves the weight to the shorter n-gram; no quotient exceeds 1.
+        """
+        single, *longer = [LEVEL_COUNTS[own] for own in levels]
         probability = (single + 1) / (self.total + self.distinct + 1)
         history = np.append(float(self.documents), single[:-1])
         history[begins] = self.documents
-        for order in range(2, self.order + 1):
-            joint = found(ngrams(hashes, begins, order))
+        for joint in longer:
             seen = history > 0
             quotient = np.minimum(joint / np.maximum(history, 1), 1.0)
             probability = np.where(seen, WEIGHT * quotient + (1 - WEIGHT) * probability, probability)
@@ -183,6 +208,13 @@ class Model:
             history[begins] = self.documents
         return np.log10(np.minimum(probability, 1.0))
 
+    def known_levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of the broadcast n-grams, OPEN for all others."""
+        if not len(self.common):
+            return np.full(len(keys), OPEN, np.uint8)
+        place = np.minimum(np.searchsorted(self.common, keys), len(self.common) - 1)
+        return np.where(self.common[place] == keys, self.common_levels[place], OPEN).astype(np.uint8)
+
 
 def count_blobs(texts: DataFrame, own: Filter, order: int) -> DataFrame:
     """Counts of n-grams by (order, part), as packed arrays; each task adds up its own documents."""
@@ -226,6 +258,7 @@ def count_blobs(texts: DataFrame, own: Filter, order: int) -> DataFrame:
 
 def added(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
+    blobs = blobs or [(b"", b"")]
     keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in blobs])
     counts = np.concatenate([np.frombuffer(c, np.uint32) for _, c in blobs]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
@@ -235,42 +268,67 @@ def added(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, max_bytes: int = MAX_BYTES, head: int = HEAD) -> Model:
-    """Learn from all rows; null text is empty and counts as one end."""
+    """Learn from all rows; null text is empty and counts as one end.
+
+    `max_bytes` bounds what is broadcast of the n-grams, not what is learnt.
+    """
     texts = docs.select(F.col(text).cast("string").alias("text"))
     characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    own = shape(characters, max_bytes)
+    number = parts_of(characters)
+    share = max_bytes // COMMON_BYTES // number
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        n, part = int(frame["n"].iloc[0]), int(frame["part"].iloc[0])
-        if n == 0:
-            return pd.DataFrame([(0, 0, int(frame["documents"].sum()), 0, None, None, None, None)], columns=names)
-        keys, counts = added(list(zip(frame["keys"], frame["counts"])))
-        bits, least = part_bits(own, keys, counts)
-        exact = n == 1
-        sizes = np.bincount(level(counts), minlength=LEVELS + 1).tolist()
+        part = int(frame["part"].iloc[0])
+        own = [added(list(zip(g["keys"], g["counts"]))) for g in (frame[frame["n"] == n] for n in range(1, order + 1))]
+        singles, single_counts = own[0]
+        keys, counts = (np.concatenate(x) for x in zip(*own))
+        size = bits_for(counts)
+        bits, _ = part_bits(Filter(1, size), keys, counts)
+        common, levels = keys[:0], np.empty(0, np.uint8)
+        if size * number > max_bytes * 4:  # the whole table may be too large to be broadcast
+            chosen = np.argsort(-counts, kind="stable")[:share]
+            common = np.sort(keys[chosen])
+            table = Model(Filter(1, size), np.frombuffer(bits, np.uint8), order, 0, 0, 0, singles, single_counts, None)
+            levels = table.levels(common).astype(np.uint8)
+        sizes = np.bincount(level(single_counts), minlength=LEVELS + 1).tolist()
         return pd.DataFrame([(
-            n, part, int(counts.sum()), len(keys), bits, sizes,
-            keys.tobytes() if exact else None, counts.astype(np.int64).tobytes() if exact else None,
+            part, int(frame["documents"].sum()), int(single_counts.sum()), len(singles), size, bits, sizes,
+            singles.tobytes(), single_counts.tobytes(), common.tobytes(), levels.tobytes(),
         )], columns=names)
 
-    names = ["n", "part", "total", "distinct", "bits", "levels", "keys", "counts"]
+    names = ["part", "documents", "total", "distinct", "size", "bits", "levels", "keys", "counts", "common", "common_levels"]
     parts = materialize(
-        count_blobs(texts, own, order).groupBy("n", "part").applyInPandas(
-            add, "n int, part int, total long, distinct long, bits binary, levels array<long>, keys binary, counts binary"
+        count_blobs(texts, Filter(number, 64), order).groupBy("part").applyInPandas(
+            add, "part int, documents long, total long, distinct long, size long, bits binary, levels array<long>, "
+            "keys binary, counts binary, common binary, common_levels binary"
         )
     )
-    table = np.zeros(own.parts * own.bits // 8, np.uint8)
-    width = own.bits // 8
-    for row in parts.where("n > 0").select("part", "bits").toLocalIterator():
-        table[row["part"] * width : (row["part"] + 1) * width] |= np.frombuffer(row["bits"], np.uint8)
-    totals = {r["n"]: r for r in parts.groupBy("n").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).collect()}
-    sizes = parts.where("n = 1").select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
-    single = parts.where("n = 1").select("part", "keys", "counts")
-    least, number = LEVELS + 1, 0
+    table_bits = np.full(number, 64, np.int64)
+    documents = total = distinct = 0
+    for row in parts.select("part", "documents", "total", "distinct", "size").collect():
+        table_bits[row["part"]] = row["size"]
+        documents, total, distinct = documents + row["documents"], total + row["total"], distinct + row["distinct"]
+    own = Filter(number, table_bits)
+    table = common = common_levels = None
+    if table_bits.sum() <= max_bytes * 8:
+        table = np.zeros(int(table_bits.sum()) // 8, np.uint8)
+        starts = (np.cumsum(table_bits) - table_bits) // 8
+        for row in parts.select("part", "bits").toLocalIterator():
+            table[starts[row["part"]] :][: len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    else:
+        rows = parts.select("common", "common_levels").collect()
+        common = np.concatenate([np.frombuffer(r["common"], np.uint64) for r in rows])
+        common_levels = np.concatenate([np.frombuffer(r["common_levels"], np.uint8) for r in rows])
+        del rows
+        by = np.argsort(common)
+        common, common_levels = common[by], common_levels[by]
+    sizes = parts.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
+    single = parts.select("part", "keys", "counts")
+    least, taken = LEVELS + 1, 0
     for row in sorted(sizes, key=lambda r: -r["level"]):
-        if number + row["n"] > head:
+        if taken + row["n"] > head:
             break
-        least, number = row["level"], number + row["n"]
+        least, taken = row["level"], taken + row["n"]
 
     def commonest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -283,11 +341,68 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, max_bytes: int
     keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in top] or [np.empty(0, np.uint64)])
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in top] or [np.empty(0, np.int64)])
     by = np.argsort(keys)
-    total = totals.get(1)
     return Model(
-        own, table, order, int(total["total"]) if total else 0, int(total["distinct"]) if total else 0,
-        int(totals[0]["total"]) if 0 in totals else 0, keys[by], counts[by], single,
+        own, table, order, total, distinct, documents, keys[by], counts[by], single, parts.select("part", "bits"),
+        common, common_levels,
+    )
+
+
+BLOCK_COLUMNS = ["rows", "sizes", "levels", "back", "wanted"]
+
+
+def held_by_block(lm: Model, hashes: np.ndarray, sizes: np.ndarray, rows: pd.Series) -> list[bytes]:
+    """BLOCK_COLUMNS: row numbers, tokens per row, levels of all n-grams (OPEN: not known), where
+    the level of each open one will stand, and the open n-grams, distinct and by part."""
+    keys = np.concatenate(lm.keys(hashes, begin_marks(sizes)))
+    levels = lm.known_levels(keys)
+    wanted, back = np.unique(keys[levels == OPEN], return_inverse=True)
+    by = np.argsort(lm.filter.part(wanted), kind="stable")
+    place = np.empty(len(by), np.uint32)
+    place[by] = np.arange(len(by), dtype=np.uint32)
+    return [x.tobytes() for x in (rows.to_numpy(np.int64), sizes, levels, place[back], wanted[by])]
+
+
+def routed_scores(blocks: DataFrame, model: Model) -> DataFrame:
+    """Row and score of blocks of rows; the owners of the parts tell the levels that a block lacks."""
+    own = Filter(model.filter.parts, 64)
+    numbers = (model.order, model.total, model.distinct, model.documents)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, wanted in zip(batch["block"], batch["wanted"]):
+                keys = np.frombuffer(wanted, np.uint64)
+                cuts = np.searchsorted(own.part(keys), np.arange(own.parts + 1))
+                used = np.flatnonzero(np.diff(cuts))
+                yield pd.DataFrame({
+                    "block": np.full(len(used), block, np.int64), "part": used.astype(np.int32),
+                    "place": cuts[used].astype(np.int64), "keys": [keys[cuts[p] : cuts[p + 1]].tobytes() for p in used],
+                })
+
+    def answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        bits = np.frombuffer(table["bits"].iloc[0] if len(table) else bytes(8), np.uint8)
+        part = Model(Filter(1, len(bits) * 8), bits, *numbers, None, None, None)
+        levels = [part.levels(np.frombuffer(k, np.uint64)).astype(np.uint8).tobytes() for k in asked["keys"]]
+        return asked[["block", "place"]].assign(levels=levels)
+
+    def finish(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(block):
+            return pd.DataFrame({"_row": np.empty(0, np.int64), "score": np.empty(0)})
+        rows, sizes, levels, back = (np.frombuffer(block[n].iloc[0], k) for n, k in (
+            ("rows", np.int64), ("sizes", np.int64), ("levels", np.uint8), ("back", np.uint32)
+        ))
+        told = np.frombuffer(b"".join(answers.sort_values("place")["levels"]), np.uint8)
+        levels = levels.copy()
+        levels[levels == OPEN] = told[back]
+        lm = Model(own, None, *numbers, None, None, None)
+        score = lm.interpolated(np.split(levels, model_order), begin_marks(sizes))
+        return pd.DataFrame({"_row": rows, "score": np.add.reduceat(score, np.cumsum(sizes) - sizes)})
+
+    model_order = model.order
+    asked = blocks.select("block", "wanted").mapInPandas(deal, "block long, part int, place long, keys binary")
+    answers = asked.groupBy("part").cogroup(model.parts.groupBy("part")).applyInPandas(
+        answer, "block long, place long, levels binary"
     )
+    return blocks.drop("wanted").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "_row long, score double")
 
 
 def scored(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,26 +411,30 @@ def scored(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None,
     `base_score` is the exact add-one sum over single tokens, `score` the filter's log10
     probability. Rows are told apart by a number, so repeated rows and null ids are fine.
     Tokens outside the broadcast head meet their exact counts by hash bucket; a bucket holds
-    rare tokens only, so it cannot be hot.
+    rare tokens only, so it cannot be hot. Where the bit table is too large to be broadcast, a
+    block of rows sends each n-gram whose level it lacks to the owner of the part once.
     """
     spark = docs.sparkSession
     keep = keep or {}
     kept = list(keep)
     own = model.filter
-    bulk = spark.sparkContext.broadcast((model.bits, model.head, model.head_counts))
+    routed = model.bits is None
+    bulk = spark.sparkContext.broadcast((model.bits, model.head, model.head_counts, model.common, model.common_levels))
     bits_of = (own, model.order, model.total, model.distinct, model.documents)
     base = np.log10(model.total + model.distinct + 1)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, head, head_counts = bulk.value
-        shape_, order, total, distinct, documents = bits_of
-        lm = Model(shape_, bits, order, total, distinct, documents, head, head_counts, None)
+        bits, head, head_counts, common, common_levels = bulk.value
+        lm = Model(bits_of[0], bits, *bits_of[1:], head, head_counts, None, None, common, common_levels)
         for batch in batches:
-            for low in range(0, len(batch), 2000):
-                rows = batch.iloc[low : low + 2000]
+            for low in range(0, len(batch), BLOCK_ROWS):
+                rows = batch.iloc[low : low + BLOCK_ROWS]
                 hashes, sizes = concatenated(rows["text"])
                 begins = np.cumsum(sizes) - sizes
-                score = np.add.reduceat(lm.log_probabilities(hashes, begin_marks(sizes)), begins)
+                if routed:
+                    score = np.nan
+                else:
+                    score = np.add.reduceat(lm.log_probabilities(hashes, begin_marks(sizes)), begins)
                 place = np.minimum(np.searchsorted(head, hashes), max(len(head) - 1, 0))
                 known = head[place] == hashes if len(head) else np.zeros(len(hashes), bool)
                 terms = np.where(known, np.log10(np.where(known, head_counts[place], 0) + 1.0), 0.0) if len(head) else np.zeros(len(hashes))
@@ -326,15 +445,18 @@ def scored(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None,
                 out["base"] = np.add.reduceat(terms, begins) - sizes * base
                 out["score"] = score
                 out["tail"] = [h[t == 1].tobytes() for h, t in zip(np.split(hashes, begins[1:]), tails)]
+                if routed:  # the first row carries what the block knows and lacks
+                    for name, value in zip(BLOCK_COLUMNS, held_by_block(lm, hashes, sizes, rows["_row"])):
+                        out[name] = [value, *[None] * (len(out) - 1)]
                 yield out
 
     columns = [F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id")]
     columns += [c.alias(n) for n, c in keep.items()]
     chosen = docs.select(*columns, F.col(text).cast("string").alias("text"))
     kinds = "".join(f", `{n}` {k}" for n, k in chosen.dtypes if n in keep)
-    first = materialize(chosen.mapInPandas(
-        work, f"_row long, doc_id long{kinds}, n_tokens long, known long, base double, score double, tail binary"
-    ))
+    kinds += ", n_tokens long, known long, base double, score double, tail binary"
+    kinds += "".join(f", {n} binary" for n in BLOCK_COLUMNS) if routed else ""
+    first = materialize(chosen.mapInPandas(work, f"_row long, doc_id long{kinds}"))
 
     def by_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -375,6 +497,9 @@ def scored(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None,
         .applyInPandas(meet, "_row long, more long, extra double")
         .groupBy("_row").agg(F.sum("more").alias("more"), F.sum("extra").alias("extra"))
     )
+    if routed:
+        blocks = first.where(F.col("wanted").isNotNull()).select(F.col("_row").alias("block"), *BLOCK_COLUMNS)
+        first = first.drop("score", *BLOCK_COLUMNS).join(routed_scores(blocks, model), "_row", "left")
     return first.drop("tail").join(more, "_row", "left").select(
         "doc_id", *keep, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),

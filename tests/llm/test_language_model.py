@@ -67,6 +67,29 @@ def test_overfull_filter_leaves_rare_ngrams_out():
     assert least > 1 and len(raw) == 1 << 12
 
 
+def test_a_part_made_for_its_counts_holds_every_ngram():
+    keys = np.arange(1, 50_001, dtype=np.uint64)
+    counts = np.where(keys % np.uint64(50) == 0, 40, 1).astype(np.int64)
+    own = lm.Filter(1, lm.bits_for(counts))
+    raw, least = lm.part_bits(own, keys, counts)
+    model = lm.Model(own, np.frombuffer(raw, np.uint8), 2, 1, 1, 1, np.empty(0, np.uint64), np.empty(0), None)
+    assert least == 1 and (model.levels(keys) >= lm.level(counts)).all()
+    assert (model.levels(keys + np.uint64(1 << 20)) > 0).mean() < 0.08
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 16])
+def test_a_table_too_large_to_broadcast_scores_alike(spark, folder, monkeypatch, max_bytes):
+    monkeypatch.setattr(lm, "BUCKET_CHARACTERS", 1 << 16)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    whole, cut = lm.fit(docs), lm.fit(docs, max_bytes=max_bytes)
+    assert whole.bits is not None and cut.bits is None and cut.filter.bits.sum() == whole.filter.bits.sum()
+    assert len(cut.common) * lm.COMMON_BYTES <= max_bytes and (len(cut.common) > 0) == (max_bytes > 0)
+    want, got = ({r.doc_id: r for r in lm.scored(docs, m).collect()} for m in (whole, cut))
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert r.score == pytest.approx(want[i].score, rel=1e-12) and r.base_score == pytest.approx(want[i].base_score, rel=1e-12)
+
+
 def test_levels_stand_for_their_counts():
     counts = np.array([1, 2, 3, 10, 100, 10_000])
     back = lm.LEVEL_COUNTS[lm.level(counts)]
