@@ -28,6 +28,11 @@ ROUNDS = 40
 # Chance to miss a pair right at the least cosine, and vectors that a bucket should hold.
 MISS = 0.02
 BUCKET_ROWS = 64
+# Squared length that centred unit vectors keep at least; the centre gives way to it.
+LEAST_SPREAD = 0.3
+# Share of a label's vectors that may be shorter than its spread, and sampled rows for a spread of its own.
+SHORTEST = 0.1
+LABEL_ROWS = 50
 BLOCK_ROWS = 1024
 
 
@@ -69,31 +74,65 @@ def quantisation(vectors: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.nda
     return rotation.T
 
 
-def plan(rows: int, cosine: float = LEAST_COSINE) -> tuple[int, int]:
+def plan(rows: int, cosine: float = LEAST_COSINE, spread: float = 1.0) -> tuple[int, int]:
     """Bits of a substring and number of tables for so many vectors of a label.
 
-    A bit differs with the chance angle / pi; so many tables are used that a pair at the least
-    cosine agrees nowhere with a chance below MISS.
+    A bit differs with the chance angle / pi, where the angle is that of the centred vectors: with
+    `spread` as their squared length, a pair at the least cosine is as far apart as before and so
+    at a larger angle. So many tables are used that it agrees nowhere with a chance below MISS.
     """
     bits = int(min(max(np.ceil(np.log2(max(rows, 1) / BUCKET_ROWS)), 6), 24))
-    same = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** bits
+    same = (1 - np.arccos(np.clip(1 - (1 - cosine) / spread, -1, 1)) / np.pi) ** bits
     return bits, int(np.ceil(np.log(MISS) / np.log(1 - same)))
 
 
+def least_spread(centred: np.ndarray, labels: np.ndarray) -> float:
+    """Squared length that all but SHORTEST of the vectors have in the label where it is smallest.
+
+    Labels with few rows in the sample count as one.
+    """
+    if not len(centred):
+        return 1.0
+    lengths = (centred * centred).sum(1)
+    _, own, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    own = np.where(sizes[own] < LABEL_ROWS, len(sizes), own)
+    return float(min(np.quantile(lengths[own == k], SHORTEST) for k in np.unique(own)))
+
+
+def centre(vectors: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """As much of the mean as leaves every label LEAST_SPREAD, and the spread that it leaves."""
+    mean = vectors.mean(0) if len(vectors) else np.zeros(vectors.shape[1])
+    for part in np.linspace(1, 0, 21):
+        spread = least_spread(vectors - part * mean, labels)
+        if spread >= LEAST_SPREAD:
+            break
+    return part * mean, min(spread, 1.0)
+
+
+def learn(samples: dict[int, tuple[np.ndarray, np.ndarray]], most: int, cosine: float = LEAST_COSINE, seed: int = 5) -> Codes:
+    """Codes from unit vectors and labels per length, for labels of at most `most` rows."""
+    found = {dim: centre(*own) for dim, own in samples.items()}
+    bits, tables = plan(most, cosine, min([spread for _, spread in found.values()], default=1.0))
+    centres = {dim: mean for dim, (mean, _) in found.items()}
+    rotations = {}
+    for dim, (own, _) in samples.items():
+        needed = -(-tables // max(dim // bits, 1))
+        rotations[dim] = np.concatenate([quantisation(own - centres[dim], seed + r) for r in range(needed)])
+    return Codes(centres, rotations, bits, tables)
+
+
 def fit(classes: DataFrame, cosine: float = LEAST_COSINE, rows: int = SAMPLE_ROWS, seed: int = 5) -> Codes:
     """Rotations from at most about `rows` vectors, chosen by a hash of their id."""
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     summary = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.collect_set("dim").alias("dims")).first()
-    bits, tables = plan(summary["most"] or 1, cosine)
     share = min(1 << 30, (rows << 30) // max(summary["all"] or 1, 1))
-    sample = classes.where(F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(1 << 30)) < share).select("dim", "x").toPandas()
-    centres, rotations = {}, {}
-    for dim in summary["dims"] or []:
-        own = unit(np.array(sample.loc[sample["dim"] == dim, "x"].to_list(), float).reshape(-1, dim))
-        centres[dim] = own.mean(0) if len(own) else np.zeros(dim)
-        needed = -(-tables // max(dim // bits, 1))
-        rotations[dim] = np.concatenate([quantisation(own - centres[dim], seed + r) for r in range(needed)])
-    return Codes(centres, rotations, bits, tables)
+    sample = classes.where(F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(1 << 30)) < share)
+    sample = sample.select("dim", F.xxhash64("label").alias("label"), "x").toPandas()
+    samples = {}
+    for dim in sorted(summary["dims"] or []):
+        own = sample[sample["dim"] == dim]
+        samples[dim] = unit(np.array(own["x"].to_list(), float).reshape(-1, dim)), own["label"].to_numpy()
+    return learn(samples, summary["most"] or 1, cosine, seed)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

@@ -120,6 +120,30 @@ def test_all_pairs_are_found_with_many_tables(vectors, monkeypatch):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("length", [0.0, 0.5, 0.7, 0.8, 0.95])
+def test_recall_with_a_common_direction_and_a_large_label(length):
+    random = np.random.default_rng(8)
+    dim, n = 64, 3000
+    common = np.zeros(dim)
+    common[0] = length
+
+    def vectors(n):
+        own = random.normal(size=(n, dim))
+        own[:, 0] = 0
+        return common + near.unit(own) * math.sqrt(1 - length * length)
+
+    # A pair at the cosine, both along the common direction: the rest of each has this angle.
+    rest = (near.LEAST_COSINE - length**2) / (1 - length**2)
+    a, other = vectors(n) - common, random.normal(size=(n, dim))
+    other[:, 0] = 0
+    side = other - a * ((other * a).sum(1) / (a * a).sum(1))[:, None]
+    b = common + rest * a + math.sqrt(1 - rest**2) * near.unit(side) * math.sqrt(1 - length**2)
+    a = a + common
+    assert np.allclose((a * b).sum(1), near.LEAST_COSINE) and np.allclose((b * b).sum(1), 1)
+    codes = near.learn({dim: (vectors(4000), np.zeros(4000, int))}, 3_000_000)
+    assert (codes.keys(a) == codes.keys(b)).any(axis=1).mean() >= 0.96
+
+
 def test_quantisation_is_a_rotation():
     random = np.random.default_rng(6)
     x = random.normal(size=(500, 8)) @ random.normal(size=(8, 8))
