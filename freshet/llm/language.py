@@ -3,8 +3,9 @@
 Labelled text of each language becomes a suffix automaton. A text is parsed greedily into longest
 phrases that occur in a language's text; each language's number of phrases, per symbol parsed and
 corrected for the amount of text it was learnt from, is its cross entropy; the language that needs
-the fewest wins. All languages' automata stand in one transition table, and many stretches of
-text step through it side by side.
+the fewest wins. Each language tells its own letters apart, whatever its script; a letter that its
+sample lacks is foreign to it. All languages' automata stand in one transition table, and many
+stretches of text step through it side by side.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import text_blocks
 
-# Symbols of labelled text per language, symbols that are told apart, and rows asked for per language.
+# Symbols of labelled text per language, symbols that a language tells apart, those of them that its
+# rarer letters share, and rows asked for per language.
 SAMPLE_SYMBOLS = 16_000
 ALPHABET = 48
+SHARED = 12
 SAMPLE_ROWS = 96
 # A phrase never crosses a stretch of so many symbols; a text of any length is parsed whole.
 STRETCH = 256
@@ -81,13 +84,14 @@ class Parser:
 
     languages: tuple[str, ...]
     alphabet: np.ndarray  # code points that have a symbol, ascending
-    codes: np.ndarray  # their symbols
+    codes: np.ndarray  # their symbols, the same for all languages
+    maps: np.ndarray  # (language, symbol) -> the language's own symbol
     table: np.ndarray  # premultiplied next state, with MISSING set where a phrase ends
     roots: np.ndarray
     scales: np.ndarray
 
     def symbols(self, text: str) -> np.ndarray:
-        """Symbols of a text: 0 for all that is no letter (runs count once), 1 for rare letters."""
+        """Symbols of a text: 0 for all that is no letter (runs count once), 1 for letters in no sample."""
         own = encode(points(text), self.alphabet, self.codes)
         return own[np.append(True, (own[1:] != 0) | (own[:-1] != 0))] if len(own) else own
 
@@ -99,7 +103,7 @@ class Parser:
         counts = np.zeros((len(self.languages), len(texts)), np.int64)
         if not stretches.sum():
             return counts.T, sizes
-        flat = np.concatenate(symbols)
+        flat = self.maps[:, np.concatenate(symbols)]
         owner = np.repeat(np.arange(len(texts)), stretches)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
         begin = np.repeat(np.cumsum(sizes) - sizes, stretches) + number * STRETCH
@@ -110,7 +114,7 @@ class Parser:
         ended = np.zeros(states.shape, np.int32)
         for k in range(int(left[0])):
             n = int(np.searchsorted(-left, -k, side="left"))
-            following = self.table[states[:, :n] + flat[begin[:n] + k]]
+            following = self.table[states[:, :n] + flat[:, begin[:n] + k]]
             ended[:, :n] += following >> 30
             states[:, :n] = following & (MISSING - 1)
         for i in range(len(self.languages)):
@@ -132,16 +136,16 @@ class Parser:
 
 def encode(values: np.ndarray, alphabet: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Symbols of lower-case code points. Letters outside the alphabet are 1, all else is 0."""
-    small = NEAR_LETTERS.copy()
+    small = NEAR_LETTERS.astype(np.int32)
     low = alphabet < 0x250
     small[alphabet[low]] = codes[low]
-    out = np.empty(len(values), np.uint8)
+    out = np.empty(len(values), np.int32)
     near = values < 0x250
     out[near] = small[values[near]]
     far = values[~near]
     if len(far):
         distinct = np.unique(far)
-        kinds = np.array([chr(p).isalpha() for p in distinct.tolist()], np.uint8)
+        kinds = np.array([chr(p).isalpha() for p in distinct.tolist()], np.int32)
         place = np.minimum(np.searchsorted(alphabet, distinct), max(len(alphabet) - 1, 0))
         if len(alphabet):
             kinds = np.where(alphabet[place] == distinct, codes[place], kinds)
@@ -149,21 +153,35 @@ def encode(values: np.ndarray, alphabet: np.ndarray, codes: np.ndarray) -> np.nd
     return out
 
 
+def own_symbols(counts: Counter, common: np.ndarray, alphabet: int) -> np.ndarray:
+    """A language's symbol for every common symbol: 0 is no letter, 1 a letter that its sample lacks.
+
+    The commonest letters have a symbol each. Letters beyond that share the last SHARED symbols, by
+    code point, so that a script of thousands of letters is still told apart.
+    """
+    out = np.ones(2 + len(common), np.int32)
+    out[0] = 0
+    ranked = [ord(c) for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    alone = alphabet - 2 if len(ranked) <= alphabet - 2 else alphabet - 2 - SHARED
+    place = 2 + np.searchsorted(common, np.array(ranked, np.uint32))
+    out[place[:alone]] = np.arange(2, 2 + min(alone, len(ranked)))
+    out[place[alone:]] = alphabet - SHARED + np.array(ranked[alone:], np.int64) % SHARED
+    return out
+
+
 def build(samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS, alphabet: int = ALPHABET) -> Parser:
     """Automata from whole texts per language; a text that no longer fits is left out, unless it is the first."""
     languages = tuple(sorted(samples))
-    counts: Counter = Counter()
-    for texts in samples.values():
-        for t in texts:
-            counts.update(c for c in t.lower() if c.isalpha())
-    common = sorted(ord(c) for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 2])
-    letters_, codes = np.array(common, np.uint32), np.arange(2, 2 + len(common), dtype=np.uint8)
-    parser = Parser(languages, letters_, codes, np.zeros(0, np.int32), np.zeros(0, np.int32), np.ones(0))
+    counts = {name: Counter(c for t in samples[name] for c in t.lower() if c.isalpha()) for name in languages}
+    common = sorted({ord(c) for own in counts.values() for c in own})
+    letters_, codes = np.array(common, np.uint32), np.arange(2, 2 + len(common), dtype=np.int32)
+    maps = np.stack([own_symbols(counts[name], letters_, alphabet) for name in languages]) if languages else np.zeros((0, 2), np.int32)
+    parser = Parser(languages, letters_, codes, maps, np.zeros(0, np.int32), np.zeros(0, np.int32), np.ones(0))
     tables, roots, sizes, base = [], [], [], 0
-    for name in languages:
+    for name, own_map in zip(languages, maps):
         material: list[int] = []
         for t in samples[name]:
-            own = [0, *parser.symbols(t).tolist()]
+            own = [0, *own_map[parser.symbols(t)].tolist()]
             if len(material) + len(own) <= symbols:
                 material += own
             elif not material:
@@ -184,7 +202,7 @@ def build(samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS, alphabet
     if len(scales):
         scales = scales / scales.max()
     table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
-    return Parser(languages, letters_, codes, table, np.array(roots, np.int32), scales)
+    return Parser(languages, letters_, codes, maps, table, np.array(roots, np.int32), scales)
 
 
 def fit(

@@ -82,3 +82,24 @@ def test_letters_outside_the_alphabet(text):
     parser = language.build({"x": ["some plain words of text"], "y": ["andere worte im text"]})
     lang, score = parser.predict([text])[0]
     assert lang in ("x", "y") and 0 < score <= 1
+
+
+def test_languages_of_different_scripts_are_told_apart():
+    random.seed(4)
+    scripts = {"la": (97, 26), "lb": (97, 26), "ru": (0x430, 32), "uk": (0x430, 32), "ar": (0x627, 30), "hi": (0x915, 37),
+               "ko": (0xAC00, 900), "zh": (0x4E00, 2500), "ja": (0x4E00, 2500)}
+    lexicon = {}
+    for name, (first, n) in scripts.items():
+        size = (1, 2) if n > 100 else (2, 7)
+        own = random.sample(range(first, first + n), n)  # some letters are commoner than others
+        pick = lambda: chr(own[int(n * random.random() ** 2)])
+        lexicon[name] = ["".join(pick() for _ in range(random.randint(*size))) for _ in range(900)]
+
+    def text(name, words):
+        return " ".join(lexicon[name][int(900 * random.random() ** 2)] for _ in range(words))
+
+    parser = language.build({name: [text(name, 150) for _ in range(30)] for name in scripts})
+    held = [(name, text(name, 60)) for name in scripts for _ in range(20)]
+    found = parser.predict([t for _, t in held])
+    assert sum(name == p for (name, _), (p, _) in zip(held, found)) >= 0.98 * len(held)
+    assert all(share >= 0.3 for _, share in found)
