@@ -155,7 +155,7 @@ def early_stopping(spark, folder):
         labelled(rows), unlabelled(rows), FEATURES, TARGET, named("lgb_rmse"), 42, 2,
         early_stopping=True, maxIter=8, maxDepth=4,
     )
-    return preds.where(c("split") == "train").select("record_id", "model", "fold", "pred")
+    return preds.select("record_id", "split", "model", "fold", "pred")
 
 
 @query("pseudo_label_training")
@@ -171,7 +171,7 @@ def pseudo_label_training(spark, folder):
     preds = training.cross_validate(
         rich, unlabelled(rows), FEATURES, "z", named("cat_d3"), 42, 2, logit_scale=True, maxIter=4
     )
-    return preds.where(c("split") == "train").select("record_id", "fold", "pred")
+    return preds.select("record_id", "split", "fold", "pred")
 
 
 @query("forest_predictions")

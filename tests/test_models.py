@@ -209,3 +209,11 @@ def test_saved_model_scores_the_same(spark, learnable, tmp_path):
     assert a.flood_risk_score.between(0, 1).all()
     top = training.importances(model, ["x0", "x1"])
     assert top[0][0] == "x0" and sum(v for _, v in top) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("name", ["early_stopping", "pseudo_label_training"])
+def test_training_queries_return_both_splits(spark, folder, name):
+    from freshet.plans import model_queries
+
+    rows = model_queries.QUERIES[name](spark, folder).groupBy("split").count().collect()
+    assert {r["split"] for r in rows} == {"train", "test"} and all(r["count"] > 0 for r in rows)
