@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import (
-    byte_bpe, language, language_model, lexical_search, licenses, mixing, near_vectors, ngram_join, packing, personal_data,
-    quality, top_k,
+    byte_bpe, conversation_trie, language, language_model, lexical_search, licenses, mixing, near_vectors, ngram_join, packing,
+    personal_data, quality, top_k,
 )
 from freshet.llm.common import remainder, table
 
@@ -87,6 +87,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
@@ -104,6 +109,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_mixing": op13_mixing,
 }
 
@@ -138,6 +144,41 @@ scores AS (
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_conversation_trie": r"""
+WITH said AS (
+  SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+bytes AS (SELECT DISTINCT c, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)) AS b FROM said),
+convs AS (
+  SELECT c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], b), lambda state, byte: list_reduce(
+    list_concat([xor(state, byte)], [0::BIGINT for i in range(8)]),
+    lambda x, zero: xor(x // 2, (x % 2) * 3988292384)))) % 4 AS h FROM bytes),
+turns AS (
+  SELECT v.c, 0 AS half, pos, said FROM convs v JOIN said s ON s.c = v.c - v.c % 20 AND s.pos <= v.h
+  UNION ALL SELECT v.c, 1, pos, said FROM convs v JOIN said s ON s.c = v.c AND s.pos > v.h),
+rebuilt AS (
+  SELECT c, row_number() OVER sofar AS depth, said, list(said) OVER sofar AS path FROM turns
+  WINDOW sofar AS (PARTITION BY c ORDER BY half, pos ROWS UNBOUNDED PRECEDING)),
+members AS (
+  SELECT c, depth, said.t AS text, path FROM rebuilt
+  UNION ALL SELECT c, 0, '', [] FROM convs),
+owned AS (SELECT c, depth, text, min(c) OVER (PARTITION BY path) AS owner, max(depth) OVER (PARTITION BY c) AS total FROM members),
+nodes AS (
+  SELECT owner, depth, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS own,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = total), '')) AS ends
+  FROM owned GROUP BY owner, depth),
+parents AS (
+  SELECT n.*, o.owner AS parent FROM nodes n LEFT JOIN owned o ON o.c = n.owner AND o.depth = n.depth - 1),
+children AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM parents WHERE depth > 0 GROUP BY ALL),
+known AS (
+  SELECT p.*, coalesce(k.n, 0) AS kids FROM parents p LEFT JOIN children k ON k.parent = p.owner AND k.depth = p.depth),
+sums AS (
+  SELECT o.owner, o.depth, count(*) FILTER (k.kids = 0) AS leaves, sum(k.own) AS saved
+  FROM known k JOIN owned o ON o.c = k.owner AND o.depth <= k.depth GROUP BY ALL)
+SELECT owner AS conv_id, CAST(k.depth AS BIGINT) AS depth, parent AS parent_conv_id, k.n AS n_convs, kids AS n_children,
+  leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM known k JOIN sums s USING (owner, depth)""",
     "op13_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
