@@ -4,7 +4,8 @@ Candidates are cut into blocks; in a block every dimension is a list sorted by v
 query with a positive weight reads from the top and one with a negative weight from the bottom.
 After some depth a candidate's score lies between what was read plus the worst and plus the best
 that the unread places can hold. Candidates whose upper bound stays below the k-th best lower
-bound are out; reading goes on for the rest, and their final scores are added up.
+bound are out. Reading stops when few others are left, and only these get final scores.
+In some dozens of dimensions of either sign bounds tell nothing before most of a list is read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 # Rows per block of candidates and of queries, and the depths (shares of a list) at which bounds are compared.
 CANDIDATES, QUERIES = 4096, 1024
-DEPTHS = (0.125, 0.5)
+DEPTHS = (0.25, 0.75, 0.9, 0.97)
+# Reading stops when so many times k candidates a query are left.
+FEW = 4
 
 
 def floored(vector: Column, scale: int = 256) -> Column:
@@ -38,36 +41,42 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def block_top(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, weights: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best of a block (all, if fewer): score downwards, then id upwards."""
-    n = len(ids)
-    up, down = np.maximum(weights, 0), np.minimum(weights, 0)
+def survivors(values: np.ndarray, weights: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Which candidates (columns) may be among each query's k best, `own` (not candidates) apart.
+
+    A list is read twice: from the top for positive weights, from the bottom for negative ones.
+    """
+    n, alive = len(values), ~own
     order = np.argsort(values, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
     ordered = np.take_along_axis(values, order, axis=0)
-    own = query_ids[:, None] == ids[None, :]
-    alive = ~own
+    signed = np.hstack([np.maximum(weights, 0), np.minimum(weights, 0)])
+    lists, place = np.hstack([values, values]), np.hstack([n - 1 - rank, rank])
+    worst = np.hstack([ordered[0], ordered[-1]])
     for share in DEPTHS:
         depth = int(n * share)
-        if depth < 1 or n <= 4 * k:
+        if depth < 1 or n <= FEW * k:
             continue
-        top, bottom = rank >= n - depth, rank < depth  # places read so far, from either end
-        read = _dot(up, np.where(top, values, 0)) + _dot(down, np.where(bottom, values, 0))
-        best_up, best_down = up * ordered[n - depth], down * ordered[depth - 1]
-        worst_up, worst_down = up * ordered[0], down * ordered[-1]
-        upper = read + (best_up.sum(1) + best_down.sum(1))[:, None] - _dot(best_up, top) - _dot(best_down, bottom)
-        lower = read + (worst_up.sum(1) + worst_down.sum(1))[:, None] - _dot(worst_up, top) - _dot(worst_down, bottom)
-        lower = np.where(own, -np.inf, lower)
+        read = place < depth
+        so_far = _dot(signed, np.where(read, lists, 0))
+        last = np.hstack([ordered[n - depth], ordered[depth - 1]])
+        upper = so_far + _dot(signed * last, ~read)
+        lower = np.where(own, -np.inf, so_far + _dot(signed * worst, ~read))
         kth = np.partition(lower, n - k, axis=1)[:, n - k]
         alive &= upper >= kth[:, None]
-        if alive.sum() <= 4 * k * len(query_ids):
+        if alive.sum() <= FEW * k * len(weights):
             break
-    full = _dot(weights, values) if alive.mean() > 0.1 else None
+    return alive
+
+
+def block_top(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, weights: np.ndarray, k: int) -> pd.DataFrame:
+    """Each query's k best of a block (all, if fewer): score downwards, then id upwards."""
+    alive = survivors(values, weights, query_ids[:, None] == ids[None, :], k)
     out = []
     for q in range(len(query_ids)):
         left = np.flatnonzero(alive[q])
-        scores = full[q, left] if full is not None else _dot(weights[q : q + 1], values[left])[0]
+        scores = _dot(weights[q : q + 1], values[left])[0]
         if len(left) > 8 * k:
             border = np.partition(scores, len(left) - k)[len(left) - k]
             keep = scores >= border

@@ -57,6 +57,17 @@ def test_bounds_decide_before_all_is_read():
     assert out["vec_id"].tolist() == [0, 1, 2, 3, 4]
 
 
+def test_bounds_leave_few_candidates_of_both_signs():
+    random = np.random.default_rng(6)
+    values = np.floor(random.normal(size=(2000, 64)) / 8 * 256).astype(np.int64)
+    own = np.arange(40)[:, None] == np.arange(2000)
+    alive = top_k.survivors(values, values[:40], own, 5)
+    assert alive.mean() < 0.05
+    scores = np.where(own, -(2**60), values[:40] @ values.T)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert np.take_along_axis(alive, best, axis=1).all()
+
+
 def test_large_numbers_stay_exact():
     values = np.array([[2**40, 1], [2**40, 2], [2**40, 3]])
     out = top_k.block_top(np.arange(3), values, np.array([9]), np.array([[2**20, 1]]), 2)
