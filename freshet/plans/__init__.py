@@ -1,11 +1,12 @@
 """All registered queries and the SQL they are checked against."""
 
 from freshet.plans import (
-    blend_queries, encoding_queries, feature_queries, log_queries, model_queries, scenario_queries,
-    stats_queries,
+    blend_queries, encoding_queries, feature_queries, log_queries, model_queries, pipeline_queries,
+    scenario_queries, stats_queries,
 )
 
-MODULES = [feature_queries, encoding_queries, stats_queries, scenario_queries, log_queries, blend_queries, model_queries]
+MODULES = [feature_queries, encoding_queries, stats_queries, scenario_queries, log_queries, blend_queries, model_queries,
+           pipeline_queries]
 
 
 def all_queries() -> dict:

@@ -254,21 +254,6 @@ def observation_csv(spark, folder):
     return tidy(back.select("record_id", "generation_date", "district", "rainfall_7d_mm", "elevation_m", TARGET))
 
 
-@query("feature_cache", over_obs("SELECT split, count(*) AS \"rows\", count(*) AS again FROM obs GROUP BY split"))
-def feature_cache(spark, folder):
-    """Features written by the first run and only read by the second."""
-    path = scratch(spark, "features")
-    build = lambda: observations(spark, folder).select("record_id", "split", *FEATURES)
-    first = files.cached_table(spark, path, build)
-
-    def never():
-        raise AssertionError("the cache was built twice")
-
-    second = files.cached_table(spark, path, never)
-    counts = first.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.join(second.groupBy("split").agg(F.count(F.lit(1)).alias("again")), "split")
-
-
 @query("oof_error", tidy_sql(over_predictions(
     f"SELECT model, {RMSE} AS rmse FROM preds WHERE split = 'train' AND model IN ('{A}', '{B}') GROUP BY model"), ["rmse"]))
 def oof_error(spark, folder):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.constants import NUMERIC_INPUTS
+from freshet.constants import CATEGORICAL, NUMERIC_INPUTS
 from freshet.operators import ordering, stats
 from freshet.plans.common import over_obs, tidy, tidy_sql
 from freshet.sources.tables import labelled, observations, unlabelled
@@ -163,13 +163,18 @@ def target_correlations(spark, folder):
     return tidy(stats.strongest(corrs, 20).select("column", F.abs("corr").alias("abs_corr")))
 
 
-PROFILED = ["record_id", "generation_date", "district", "place_name", "landcover", "road_quality",
-            "rainfall_7d_mm", "drainage_index", "elevation_m", "is_synthetic", "fold"]
-KINDS = {"rainfall_7d_mm": "double", "drainage_index": "double", "elevation_m": "double", "fold": "int"}
+# All columns of the observations.
+DOUBLES = [*NUMERIC_INPUTS, "rainfall_7d_mm_log1p", "distance_to_river_m_log1p", "population_density_per_km2_log1p",
+           "ndwi_qmap", "elevation_m_yeojohnson", Y]
+PROFILED = ["record_id", "number", "generation_date", *CATEGORICAL, "is_synthetic", "fold", "split", *DOUBLES]
+
+
+def kind_of(name: str) -> str:
+    return {"number": "bigint", "fold": "int"}.get(name, "double" if name in DOUBLES else "string")
 
 
 @query("column_profile", over_obs(" UNION ALL ".join(
-    f"SELECT '{n}' AS \"column\", '{KINDS.get(n, 'string')}' AS dtype, count(DISTINCT {n}) AS distinct_values,"
+    f"SELECT '{n}' AS \"column\", '{kind_of(n)}' AS dtype, count(DISTINCT {n}) AS distinct_values,"
     f" count(*) - count({n}) AS missing FROM obs" for n in PROFILED)))
 def column_profile(spark, folder):
     return stats.column_profile(observations(spark, folder).select(*PROFILED))

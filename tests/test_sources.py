@@ -84,16 +84,21 @@ def test_registry(spark, tmp_path):
     assert [(r["version"], r["num_base_models"]) for r in rows] == [("v1", 0), ("v2", 0)]
 
 
-def test_cache_is_built_once(spark, tmp_path):
-    built = []
-
-    def build():
-        built.append(1)
-        return spark.range(3)
-
-    path = str(tmp_path / "cache")
-    assert files.cached_table(spark, path, build).count() == files.cached_table(spark, path, build).count() == 3
-    assert built == [1]
+def test_cache_is_built_once_and_never_outdated(spark, tmp_path):
+    path, source = str(tmp_path / "cache"), str(tmp_path / "source")
+    spark.range(3).write.parquet(source)
+    stamp = lambda: sorted(p.name for p in (tmp_path / "cache").glob("*.parquet"))
+    build = lambda: spark.read.parquet(source)
+    assert files.cached_table(spark, path, build, [source]).count() == 3
+    first = stamp()
+    assert files.cached_table(spark, path, build, [source]).count() == 3 and stamp() == first
+    # Another expression, another version of the code, other input files, no manifest: built again.
+    assert files.cached_table(spark, path, lambda: build().where("id > 0"), [source]).count() == 2
+    assert files.cached_table(spark, path, build, [source]).count() == 3
+    before = stamp()
+    assert files.cached_table(spark, path, build, [source], version="2").count() == 3 and stamp() != before
+    spark.range(5).write.mode("append").parquet(source)
+    assert files.cached_table(spark, path, build, [source], version="2").count() == 8
 
 
 def test_observations_are_unique_and_in_range(spark, folder):
