@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from freshet.constants import NUMERIC_INPUTS, TARGET
+from freshet.constants import FEATURES_108, NUMERIC_INPUTS, TARGET
 from freshet.durable import materialize, scratch
 from freshet.functions.scalars import clip_unit, logit
 from freshet.functions.scorers import linear_combination, score
-from freshet.operators import blending, folds, stacking, training
+from freshet.operators import blending, ensembles, folds, grid_runs, scenario, stacking, training
 from freshet.operators.ordering import medians
 from freshet.operators.stats import rmse
 from freshet.plans.blend_queries import MODELS, RMSE, SCORES_CTE, inverse_sql, out_of_fold, predictions
-from freshet.plans.common import over_obs, over_predictions, tidy, tidy_sql
+from freshet.plans.common import over_obs, over_predictions, over_scenarios, tidy, tidy_sql
+from freshet.plans.feature_queries import feature_table
+from freshet.plans.scenario_queries import scenarios
 from freshet.sources import files
 from freshet.sources.tables import labelled, observations, unlabelled
 
@@ -206,6 +208,64 @@ def feature_importance(spark, folder):
     return spark.createDataFrame(training.importances(model, FEATURES), "feature string, importance double")
 
 
+# A grid of units on the whole feature matrix, and a stack that is saved and served.
+
+# Shortened fits: see the README. The operators' defaults are 100 rounds and 100 trees of depth 15.
+SHORT = {"maxIter": 4, "numTrees": 3, "maxDepth": 4}
+GRID = ["cat_d4", "lgb_huber", "et_leaf5"]
+
+
+def seeded_fold_sql(seed: str, folds: int) -> str:
+    digit = lambda i: f"(strpos('123456789abcdef', substr(md5({seed} || ':' || record_id), {i}, 1)))"
+    return f"({digit(1)} * 256 + {digit(2)} * 16 + {digit(3)}) % {folds}"
+
+
+@query("grid_predictions", over_obs(f"""
+SELECT g.model, r.repeat, f.fold, s.split, (
+    SELECT count(*) FROM obs WHERE split = s.split AND (split = 'test' OR {seeded_fold_sql("CAST(42 + r.repeat AS VARCHAR)", 2)} = f.fold)) AS "rows",
+  true AS usable, 0 AS trained_again
+FROM (SELECT unnest([{', '.join(f"'{g}_s42'" for g in GRID)}]) AS model) g, (SELECT unnest([0, 1]) AS repeat) r,
+  (SELECT unnest([0, 1]) AS fold) f, (SELECT unnest(['train', 'test']) AS split) s"""))
+def grid_predictions(spark, folder):
+    """Three models on 108 features, two repeats of two folds, trained side by side; a second run trains nothing."""
+    matrix = feature_table(observations(spark, folder))
+    path = scratch(spark, "grid")
+    wanted = grid_runs.units([named(g) for g in GRID], [42], repeats=2, folds=2)
+    fold = lambda r: folds.seeded_fold(c("record_id"), 2, 42 + r)
+    run = lambda: grid_runs.run_units(labelled(matrix), unlabelled(matrix), FEATURES_108, TARGET, wanted, path, fold, **SHORT)
+    run()
+    again = len(run())
+    preds = grid_runs.read_units(spark, path)
+    usable = F.min(c("pred").between(-0.5, 1.5))
+    return preds.groupBy("model", "repeat", "fold", "split").agg(
+        F.count(F.lit(1)).alias("rows"), usable.alias("usable"), F.lit(again).alias("trained_again")
+    )
+
+
+@query("served_stack", over_scenarios(
+    "SELECT number, model_version, CASE WHEN model_version = 'v13' THEN 'model' ELSE 'heuristic' END AS route, true AS same FROM scen"))
+def served_stack(spark, folder):
+    """Scenarios of one version scored by a stack that was saved and loaded, the others by the heuristic.
+
+    `same` says that the loaded stack scores as the fitted one, within [0, 1].
+    """
+    rows = model_input(spark, folder)
+    learners = {
+        "gbt": lambda: GBTRegressor(featuresCol="inputs", labelCol=TARGET, maxIter=4, maxDepth=3, seed=42),
+        "huber": lambda: ensembles.HuberBoosting(TARGET, rounds=4, depth=3, rate=0.3),
+        "trees": lambda: ensembles.ExtraTrees(TARGET, trees=3, depth=4),
+    }
+    fitted = ensembles.Stack(learners, NUMERIC_INPUTS, TARGET, folds=3).fit(labelled(rows))
+    path = scratch(spark, "stack")
+    fitted.write().overwrite().save(path)
+    loaded = ensembles.StackModel.load(path)
+    asked = materialize(scenarios(spark, folder))
+    scored = scenario.score_by_route(asked, {"v13": loaded.transform}).select("number", "model_version", "route", "flood_risk_score")
+    before = fitted.transform(asked.where("model_version = 'v13'")).select("number", c("flood_risk_score").alias("before"))
+    same = F.when(c("route") == "model", c("before") == c("flood_risk_score")).otherwise(True) & c("flood_risk_score").between(0, 1)
+    return scored.join(before, "number", "left").select("number", "model_version", "route", same.alias("same"))
+
+
 # Files: predictions by model, merged; submissions by variant.
 
 @query("prediction_store", over_predictions(
