@@ -23,6 +23,14 @@ def remainder(column: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(crc, F.lit(modulus)).cast("int"), F.lit(-1))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """The UTF-8 words of a text with A-Z in lower case; none for null."""
     if not text:

@@ -12,24 +12,29 @@ of the first n - ceil(t * n) + k shingles of either they share k.
 
 Lists of rare shingles are short (the sketch never undercounts) and are gathered as packed
 arrays by hash bucket; frequent shingles go through plain joins. A list first links every member
-to its smallest one; only members of different components are then compared with each other, so
-groups of copies never become all their pairs, and no link between components is missed.
-Candidates are verified by the exact Jaccard of their sets.
+to a few of it: the smallest, the most central (it has least of its own, as the origin of a group
+of near copies does), and in long lists some picked by hash. Only members of different components
+are then compared with each other, a block of a list with a block in a task, so groups of copies
+never become all their pairs, and no link between components is missed.
+Candidates are pruned by an upper bound of their overlap, which counts of hashes per slot of the
+hash space give (about n / 4 bytes for n shingles, from the first pass), and the few that pass are
+verified by the exact Jaccard of their sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.durable import lookup, materialize
-from freshet.llm.common import expand, mix, words
+from freshet.llm.common import expand, mix, runs, unused, words
 from freshet.llm.components import components
 
 WIDTH = 5
@@ -45,7 +50,9 @@ LARGEST_SMALL = 48
 # Stars of a list: around its smallest member, and around so many more members picked by hash if
 # it is long. Stars of frequent shingles take a set's first LEADS such lists; what stars leave
 # apart is compared through all lists.
-STARS, LONG_LIST, LEADS = 5, 8, 3
+STARS, LONG_LIST, LEADS = 4, 8, 3
+# Members of a list that are compared in one task with as many others.
+BLOCK = 2048
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -103,17 +110,18 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT)
 
 
 def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) per row, and the sketch's counters, in one pass over the texts."""
+    """(doc_id, n, node, slots) per row, and the sketch's counters, in one pass over the texts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            ns, nodes, held, seen = [], [], [], set()
+            ns, nodes, slots, held, seen = [], [], [], [], set()
             for value in batch["text"]:
                 keys = shingles(value, width)
                 node = set_id(keys) if len(keys) else None
                 ns.append(len(keys))
                 nodes.append(node)
+                slots.append(slot_counts(keys) if len(keys) else None)
                 if len(keys) and node not in seen:
                     seen.add(node)
                     held.append(keys)
@@ -121,13 +129,13 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
                 places = (np.concatenate(held) >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
                 counters += np.bincount(places, minlength=SKETCH).astype(np.uint32)
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": ns, "node": pd.array(nodes, dtype="Int64"), "chunk": -1, "counts": None,
+                "doc_id": batch["doc_id"], "n": ns, "node": pd.array(nodes, dtype="Int64"), "chunk": -1, "counts": slots,
             })
         if counters.any():
-            parts = np.split(np.minimum(counters, 255).astype(np.uint8), CHUNKS)
+            parts = np.split(counters, CHUNKS)
             yield pd.DataFrame({
                 "doc_id": pd.array([None] * CHUNKS, dtype="Int64"), "n": 0, "node": pd.array([None] * CHUNKS, dtype="Int64"),
-                "chunk": range(CHUNKS), "counts": [p.tobytes() for p in parts],
+                "chunk": range(CHUNKS), "counts": [zlib.compress(p.tobytes(), 1) for p in parts],
             })
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -136,7 +144,7 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH // CHUNKS, np.uint32)
         for blob in frame["counts"]:
-            total += np.frombuffer(blob, np.uint8)
+            total += np.frombuffer(zlib.decompress(blob), np.uint32)
         return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
     counts = np.zeros(SKETCH, np.uint32)
@@ -144,7 +152,7 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
     added = rows.where("chunk >= 0").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
     for row in added.toLocalIterator():
         counts[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["counts"], np.uint32)
-    return rows.where("chunk < 0").select("doc_id", "n", "node"), counts
+    return rows.where("chunk < 0").select("doc_id", "n", "node", F.col("counts").alias("slots")), counts
 
 
 def signatures(keys: np.ndarray, heavy: np.ndarray, border: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,13 +252,16 @@ def _bucket_lists(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         nodes.append(np.frombuffer(own, np.int64)[owner])
         sizes.append(np.frombuffer(n, np.uint32)[owner])
     sig, node, n = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
+    known, back, all_sigs = np.unique(node, return_inverse=True, return_counts=True)
     order = np.argsort(sig, kind="stable")
     repeated = sig[order][1:] == sig[order][:-1]
     order = order[np.append(repeated, False) | np.append(False, repeated)]  # lists of one are done
     order = order[np.lexsort((node[order], n[order], sig[order]))]
     sig, node, n = sig[order], node[order], n[order]
     fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])) if len(sig) else np.empty(0, bool)
-    sig, node, n = sig[fresh], node[fresh], n[fresh]
+    sig, node, n, back = sig[fresh], node[fresh], n[fresh], back[order][fresh]
+    # Share of a node's signatures here that no other node has.
+    alone = 1 - np.bincount(back, minlength=len(known)) / np.maximum(all_sigs, 1)
     out = {"kind": [], "a": [], "b": [], "n": []}
     if len(sig):
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
@@ -259,15 +270,16 @@ def _bucket_lists(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         members = expand(first, lengths)
         begins = np.cumsum(lengths) - lengths
         pairs = []
-        for star in range(STARS + 1):
+        of_list = np.repeat(np.arange(len(first)), lengths)
+        for star in range(STARS + 2):
             pivot = first
             if star:
-                order = np.lexsort((mix(node[members].view(np.uint64) + np.uint64(star)), np.repeat(np.arange(len(first)), lengths)))
-                pivot = members[order[begins]]
+                by = mix(node[members].view(np.uint64) + np.uint64(star)) if star > 1 else alone[back[members]]
+                pivot = members[np.lexsort((by, of_list))[begins]]
             pivot = np.repeat(pivot, lengths)
             fits = (members != pivot) & (100 * np.minimum(n[pivot], n[members]) >= percent * np.maximum(n[pivot], n[members]))
             if star:
-                fits &= np.repeat(lengths >= LONG_LIST, lengths)
+                fits &= np.repeat(lengths >= (LONG_LIST if star > 1 else 3), lengths)
             pairs.append(np.stack([node[pivot[fits]], node[members[fits]]], 1))
         pairs = np.sort(np.concatenate(pairs), axis=1)
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
@@ -286,53 +298,87 @@ def _bucket_lists(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out).assign(place=0, lead=False)
 
 
-def _made(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, percent: int, whole: bool) -> DataFrame:
-    """(node, n, keys): the sets of the wanted nodes, made anew from one document of each.
-
-    Only the upper halves of the smallest hashes unless `whole`. A bitmap of fixed size, from all
-    wanted ids, keeps most other texts from being looked at.
-    """
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """NEEDED_BITS bits, as longs, of the hashed `doc_id`s."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
-    bits = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
+    bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS INT))")).alias("bits")
     )
     table = np.zeros(NEEDED_BITS // 64, np.int64)
-    for row in bits.collect():  # at most NEEDED_BITS / 64 rows
+    for row in bits.toLocalIterator():  # at most NEEDED_BITS / 64 rows
         table[row["w"]] = row["bits"]
+    return table
+
+
+def _made(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(node, n, keys): the sets of the documents with the wanted `doc_id`s, made anew.
+
+    A bitmap of fixed size keeps most other texts from being looked at; what it lets through
+    besides, and what repeats, is for the join to drop.
+    """
+    bits = _bitmap(wanted)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
             slots = batch["slot"].to_numpy(np.int64)
-            batch = batch[((table[slots >> 6] >> (slots & 63)) & 1).astype(bool)]
-            sets = [shingles(t, width) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].to_numpy(), "node": [set_id(k) for k in sets], "n": [len(k) for k in sets],
-                "keys": [k.tobytes() if whole else smallest(k, percent).tobytes() for k in sets],
-            })
+            sets = []
+            for t in batch["text"][((bits[slots >> 6] >> (slots & 63)) & 1).astype(bool)]:
+                keys = shingles(t, width)
+                if len(keys) and (node := set_id(keys)) not in seen:
+                    seen.add(node)
+                    sets.append((node, len(keys), keys.tobytes()))
+            if len(seen) > 100_000:
+                seen.clear()
+            yield pd.DataFrame(sets, columns=["node", "n", "keys"])
 
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chosen = chosen.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("slot", slot)
-    made = chosen.mapInPandas(make, "doc_id long, node long, n long, keys binary")
-    # An id that repeats may come with other texts: the set's own hash decides.
-    return made.join(wanted, ["doc_id", "node"]).select("node", "n", "keys").dropDuplicates(["node"])
+    return materialize(chosen.mapInPandas(make, "node long, n long, keys binary"))
 
 
-def smallest(keys: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The upper 32 bits of a set's smallest n - required + 1 hashes, ascending."""
-    return (keys[: len(keys) - int(required(len(keys), percent)) + 1] >> np.uint64(32)).astype(np.uint32)
+def slot_counts(keys: np.ndarray) -> bytes:
+    """How many hashes lie in each of 2^k equal parts of the hash space, about four a part.
 
+    A byte each; a part with 255 or more counts as any number.
+    """
+    bits = max((len(keys) // 4).bit_length(), 1)
+    counts = np.bincount((keys >> np.uint64(64 - bits)).astype(np.intp), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-def _both(pairs: DataFrame, sets: DataFrame, kind: type, test) -> DataFrame:
-    """The pairs (a, b) for which `test` of both sizes and hash arrays holds."""
+
+def possible(n: int, m: int, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m with these slot counts can overlap enough: no part shares more than the less of both."""
+    x, y = ((v.astype(np.int64) + (v == 255) * (1 << 40)) for v in (x, y))
+    while len(x) > len(y):
+        x = x[::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[::2] + y[1::2]
+    both = min(int(np.minimum(x, y).sum()), n, m)
+    return (100 + percent) * both >= percent * (n + m)
+
+
+def _passed(pairs: DataFrame, sets: DataFrame, kind: type, test) -> DataFrame:
+    """The pairs (a, b) for which `test` of both sizes and arrays holds; `sets` has node, n, keys.
+
+    One end's array travels with each pair to the other; a hash of the pair says which, so that a
+    node with many pairs does not get all of theirs.
+    """
 
     @F.pandas_udf("boolean")
     def passes(n: pd.Series, m: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
         out = [test(*row) for row in zip(n, m, (np.frombuffer(x, kind) for x in left), (np.frombuffer(y, kind) for y in right))]
         return pd.Series(out, dtype=bool)
 
-    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x")), "a")
-    own = own.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y")), "b")
-    return own.where(passes("na", "nb", "x", "y")).select("a", "b")
+    turned = F.xxhash64("a", "b") % 2 == 0
+    routed = pairs.select(
+        F.when(turned, F.col("a")).otherwise(F.col("b")).alias("from"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("to")
+    )
+    left = sets.select(F.col("node").alias("from"), F.col("n").alias("nl"), F.col("keys").alias("x"))
+    right = sets.select(F.col("node").alias("to"), F.col("n").alias("nr"), F.col("keys").alias("y"))
+    met = routed.join(left, "from").join(right, "to").where(passes("nl", "nr", "x", "y"))
+    return materialize(met.select(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).distinct())
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -341,17 +387,6 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[place] == y).sum())
 
 
-def possible(n: int, m: int, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether sets of n and m with these `smallest` hashes can overlap enough.
-
-    Up to the smaller of the two last hashes both arrays are complete, so the set that ends
-    there shares what the arrays share, and at most all that is left of it. Halved hashes may
-    agree by chance, which only lets a pair through.
-    """
-    left = max([n - len(x)] * bool(x[-1] <= y[-1]) + [m - len(y)] * bool(y[-1] <= x[-1]))
-    return (100 + percent) * (overlap(x, y) + left) >= percent * (n + m)
-
-
 def enough(n: int, m: int, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two whole sets have Jaccard percent / 100 or more."""
     both = overlap(x, y)
@@ -368,8 +403,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     heavy = heavy_bits(counts)
     length = list_length(counts[~heavy])
     del counts
-    known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    known = materialize(known)
+    first = [F.first(name).alias(alias) for name, alias in (("n", "n"), ("slots", "keys"))]
+    known = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first))
+    rows = rows.drop("slots")
     sizes = {r["n"]: r["count"] for r in known.where(F.col("n") < 2 * LARGEST_SMALL).groupBy("n").count().collect()}
     border = boundary(sizes, length, percent)
     total = known.agg(F.sum("n")).first()[0] or 0
@@ -384,7 +420,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     frequent = lists.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node"), "n", "place", "lead").distinct()
     frequent = materialize(frequent)
     picked = [F.min_by(F.struct("n", "node"), F.xxhash64("node", F.lit(i))) for i in range(1, STARS + 1)]
-    pivots = F.array(F.min(F.struct("n", "node")), *picked)
+    # Rare shingles come first: where a frequent one comes early, little else is in the set.
+    centre = F.min_by(F.struct("n", "node"), F.struct("place", "node"))
+    pivots = F.array(F.min(F.struct("n", "node")), centre, *picked)
     pivots = materialize(frequent.groupBy("sig").agg(pivots.alias("pivots"), F.count("*").alias("w")).where("w > 1"))
     stars = (
         lookup(frequent.where("lead").drop("lead", "place"), pivots, ["sig"], weight="w")
@@ -395,36 +433,81 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     candidates = materialize(lists.where("kind = 0").select("a", "b").unionAll(stars).distinct())
     members = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"), "n", F.lit(0).cast("long").alias("place"))
     members = members.distinct().unionAll(frequent.drop("lead").withColumnRenamed("sig", "list"))
-    ids = candidates.select(F.col("a").alias("node")).unionAll(candidates.select(F.col("b").alias("node")))
-    ids = ids.unionAll(members.select("node")).distinct()
     named = known.select("node", "doc_id")
-    prefixes = materialize(_made(docs, ids.join(named, "node"), doc_id, text, width, percent, False))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that pass by their smallest hashes, then by their whole sets."""
-        left = materialize(_both(pairs, prefixes, np.uint32, lambda *row: possible(*row, percent)))
-        nodes = left.select(F.col("a").alias("node")).unionAll(left.select(F.col("b").alias("node"))).distinct()
-        sets = materialize(_made(docs, nodes.join(named, "node"), doc_id, text, width, percent, True))
-        return materialize(_both(left, sets, np.uint64, lambda *row: enough(*row, percent)))
+        """Pairs that pass by their slot counts, then by their whole sets."""
+        left = _passed(pairs, known.select("node", "n", "keys"), np.uint8, lambda *row: possible(*row, percent))
+        ids = left.select(F.col("a").alias("node")).unionAll(left.select(F.col("b").alias("node"))).distinct()
+        sets = _made(docs, named.join(ids, "node"), doc_id, text, width)
+        return _passed(left, sets, np.uint64, lambda *row: enough(*row, percent))
 
     first = verified(candidates)
     # Members of one list that are not connected yet are compared with each other.
     joined = materialize(components(first, "a", "b"))
     own = members.join(joined, "node", "left").select("list", "node", "n", "place", F.coalesce("component", "node").alias("c"))
-    own = materialize(own)
-    split = own.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("list")
-    own = own.join(split, "list")
-    other = own.select("list", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "c")])
-    # A first common shingle at places i and j leaves at most min(n - i, m - j) to share.
-    room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    crossed = own.join(other, "list").where(
-        (F.col("c") != F.col("c2")) & (F.col("node") < F.col("node2"))
-        & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
-    ).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    crossed = materialize(_crossed(materialize(own), percent))
     return rows, first.unionAll(verified(crossed.join(candidates, ["a", "b"], "left_anti")))
 
 
+def _crossed(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (list, node, n, place, c) of one list with different c that may link.
+
+    A list's largest c is not compared with itself: blocks of the others meet each other and it.
+    Blocks are of bounded size, by hash of the node.
+    """
+    sizes = own.groupBy("list", "c").count()
+    sizes = sizes.groupBy("list").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    sizes = materialize(sizes.where("most < all"))
+    rest = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    main = F.ceil(F.col("most") / BLOCK).cast("int")
+    own = lookup(own, sizes, ["list"], weight=None).where("all IS NOT NULL").withColumn("is_main", F.col("c") == F.col("main"))
+    # Others are blocks 0 .. rest - 1, those of the largest c follow.
+    number = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
+    block = F.when(F.col("is_main"), rest + number(main)).otherwise(number(rest)).cast("int")
+    own = own.withColumn("block", block)
+    partner = F.when(F.col("is_main"), F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + main - 1))
+    met = own.withColumn("partner", F.explode(partner)).select(
+        "list", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block", "node", "n", "place", "c"
+    )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in runs(batches, ["list", "i", "j"], 20_000):
+            key = frame[["list", "i", "j"]].to_numpy()
+            cuts = [*np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))).tolist(), len(key)]
+            columns = [frame[c].to_numpy(np.int64) for c in ("node", "n", "place", "c", "block")]
+            found = []
+            for low, high in zip(cuts, cuts[1:]):
+                found.append(_block_pairs(*[x[low:high] for x in columns], bool(key[low, 1] == key[low, 2]), percent))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = met.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
+
+
+def _block_pairs(node, n, place, c, block, same: bool, percent: int) -> np.ndarray:
+    """The pairs of one or of two blocks that differ in c and may link by sizes and places."""
+    left = np.arange(len(node)) if same else np.flatnonzero(block == block.min())
+    right = left if same else np.flatnonzero(block != block.min())
+    out = [np.empty((0, 2), np.int64)]
+    for x in left.tolist():
+        y = right[right > x] if same else right
+        room = np.minimum(n[x] - place[x], n[y] - place[y])  # what a first common shingle at these places leaves to share
+        fits = (c[y] != c[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        y = y[fits & ((100 + percent) * room >= percent * (n[x] + n[y]))]
+        out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+    return np.concatenate(out)
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) per row, and (node, least, w, c) per node: its smallest id, rows and group."""
+    rows, pairs = links(docs, doc_id, text, width, percent)
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"))
+    joined = nodes.join(components(pairs, "a", "b"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    return rows, materialize(joined.select("node", "least", "w", "c"))
+
+
 def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of `docs`.
 
@@ -434,10 +517,7 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest id reachable by links, a row's own included. Ids may repeat; a row without an id
     belongs to the rows of the same set, and is linked with nothing if all of those lack one.
     """
-    rows, pairs = links(docs, doc_id, text, width, percent)
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"))
-    joined = nodes.join(components(pairs, "a", "b"), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    joined = materialize(joined.select("node", "least", "w", "c"))
+    rows, joined = _grouped(docs, doc_id, text, width, percent)
     smallest = joined.groupBy("c").agg(F.min("least").alias("component_id"))
     named = materialize(joined.join(smallest, "c").select("node", "w", "component_id"))
     return lookup(rows, named, ["node"], weight="w").select(
@@ -445,15 +525,35 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies, the one of the smallest id, in the columns that came in.
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near copies, in the columns that came in.
 
-    Rows that repeat an id and its text are one; rows without id or without words all stay.
+    It is the row of the smallest id; among rows that repeat that id, and among rows without an id
+    where a group has no other, one with the smallest set hash. Rows without words are no copies of
+    anything and all stay.
     """
-    found = materialize(near_documents(docs, doc_id, text))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(keep, F.col(doc_id) == F.col("_keep"), "left_semi").unionAll(docs.where(F.col(doc_id).isNull()))
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows
-    order = Window.partitionBy(F.col(doc_id), F.xxhash64(text)).orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) | F.col(doc_id).isNull()).drop("_n")
+    rows, joined = _grouped(docs, doc_id, text, width, percent)
+    order = F.struct(F.col("least").isNull(), "least", "node")
+    chosen = materialize(joined.groupBy("c").agg(F.min_by("node", order).alias("node"), F.min("least").alias("least")))
+    own, node, only = (unused(docs, name) for name in ("_id", "_node", "_only"))
+    # Ids of one row are decided by the id alone; texts of all other rows are looked at again.
+    several = materialize(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"))
+    keep = chosen.where("least IS NOT NULL").join(several, F.col("least") == F.col("doc_id"), "left_anti")
+    wordless = rows.where("node IS NULL AND doc_id IS NOT NULL").join(several, "doc_id", "left_anti")
+    ids = keep.select(F.col("least").alias(own)).unionAll(wordless.select(F.col("doc_id").alias(own)))
+    cast = docs.withColumn(only, F.col(doc_id).cast("long"))
+    plain = cast.join(ids.distinct(), F.col(only) == F.col(own), "left_semi")
+
+    @F.pandas_udf("long")
+    def set_hash(texts: pd.Series) -> pd.Series:
+        sets = (shingles(t, width) for t in texts)
+        return pd.Series([set_id(k) if len(k) else None for k in sets], dtype="Int64")
+
+    odd = cast.where(F.col(only).isNull())
+    if not several.isEmpty():
+        odd = odd.unionAll(cast.join(several.select(F.col("doc_id").alias(own)), F.col(only) == F.col(own), "left_semi"))
+    odd = odd.withColumn(node, set_hash(F.col(text).cast("string")))
+    picked = chosen.select(F.col("node").alias(own), F.col("least").alias(unused(docs, "_least")))
+    same = (F.col(node) == F.col(own)) & F.col(only).eqNullSafe(F.col(unused(docs, "_least")))
+    named = odd.join(picked, same, "left_semi").dropDuplicates([node])
+    return plain.drop(only).unionAll(named.drop(only, node)).unionAll(odd.where(F.col(node).isNull()).drop(only, node))

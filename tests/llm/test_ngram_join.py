@@ -108,12 +108,63 @@ def test_linked_sets_share_a_signature():
 
 
 def test_representatives(spark, rows):
-    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string")
+    clashes = "doc_id long, text string, component_id string, _id int, _node int, _only int, _least int, node int"
+    docs = spark.createDataFrame([(d, t, "x", 1, 2, 3, 4, 5) for d, t in rows], clashes)
     out = join.representatives(docs)
     assert out.columns == docs.columns
-    kept = {d for d, _, c in brute(rows) if d is not None and d == c}
-    want = [(d, t) for d, t in rows if d is None] + list({(d, t) for d, t in rows if d in kept})
-    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    kept = out.collect()
+    assert all(tuple(r)[2:] == ("x", 1, 2, 3, 4, 5) for r in kept)
+    kept = [(r.doc_id, r.text) for r in kept]
+    groups = {c for d, n, c in brute(rows) if n and c is not None}
+    with_words = sorted((d for d, t in kept if sets_of(t) and d is not None))
+    assert with_words == sorted(groups)
+    # Rows without an id and a group of their own: one stays. Rows without words all stay.
+    assert [t for d, t in kept if d is None and sets_of(t)] == ["alone without an id in all the world"]
+    assert sorted(d for d, t in kept if not sets_of(t)) == sorted(d for d, t in rows if not sets_of(t))
+
+
+def test_copies_without_id_and_ids_that_repeat(spark):
+    copy = "four copies of one text with more than five words in it"
+    rows = [(None, copy), (None, copy.upper()), (None, copy), (9, copy), (None, "only here and without any id at all"), (None, None)]
+    rows += [(None, "only here and without any id at all")] * 3 + [(5, "one text"), (5, "other text"), (5, "one text"), (6, "other text"), (5, None)]
+    kept = join.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted([
+        ("9", copy), ("None", "only here and without any id at all"), ("None", "None"), ("5", "one text"), ("5", "other text"), ("5", "None"),
+    ])
+
+
+def test_possible_never_drops_a_link():
+    rng = np.random.default_rng(4)
+    for n in (3, 20, 400, 30_000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0.99, 0.9, 0.86, 0.8, 0.5, 0.1):
+            b = np.unique(np.append(a[rng.random(len(a)) < share], rng.integers(0, 2**64, n // 20, dtype=np.uint64)))
+            if not len(b):
+                continue
+            exact = join.enough(len(a), len(b), a, b)
+            passed = join.possible(len(a), len(b), *(np.frombuffer(join.slot_counts(x), np.uint8) for x in (a, b)))
+            assert passed or not exact
+            if n == 400 and share <= 0.1:
+                assert not passed
+    crowded = np.arange(1000, dtype=np.uint64)  # one slot with more than a byte holds
+    assert join.possible(1000, 1000, *[np.frombuffer(join.slot_counts(crowded), np.uint8)] * 2)
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_crossed_blocks_give_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(join, "BLOCK", block)
+    rng = random.Random(5)
+    rows = [(k, i, 20 + i % 5, rng.randrange(3), rng.choice([0, 0, 0, 1, 2, i])) for k in (1, 2, 3) for i in rng.sample(range(60), 25)]
+    rows += [(9, i, 20, 0, 4) for i in range(70, 80)]
+    own = spark.createDataFrame(rows, "list long, node long, n long, place long, c long")
+    want = set()
+    for x in rows:
+        for y in rows:
+            room = min(x[2] - x[3], y[2] - y[3])
+            if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and 100 * min(x[2], y[2]) >= 75 * max(x[2], y[2]) and 175 * room >= 75 * (x[2] + y[2]):
+                want.add((x[1], y[1]))
+    got = [tuple(r) for r in join._crossed(own, 75).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_chains_and_cycles(spark):
