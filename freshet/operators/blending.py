@@ -5,7 +5,7 @@ Predictions live in one long table: record_id, split, model, (seed, repeat, fold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import clip_unit
@@ -21,19 +21,31 @@ def average_predictions(preds: DataFrame, by: list[str]) -> DataFrame:
 
 
 def stack(preds: DataFrame, models: list[str], ids: list[str]) -> DataFrame:
-    """One row per record, one column per model."""
+    """One row per record, one column per model; a model that has a record twice stops the job."""
+    own = lambda m: F.when(c("model") == m, c("pred"))
     return preds.where(c("model").isin(models)).groupBy(*ids).agg(
-        *[F.max(F.when(c("model") == m, c("pred"))).alias(m) for m in models]
+        *[only_one(F.max(own(m)), F.count(own(m)), m).alias(m) for m in models]
     )
 
 
+def only_one(value: Column, rows: Column, name: str) -> Column:
+    return F.when(rows <= 1, value).otherwise(F.raise_error(F.lit(f"{name} holds a record more than once")))
+
+
 def aligned(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame:
-    """Prediction tables side by side, matched on the key, not on the row order."""
+    """Prediction tables side by side, matched on the key, not on the row order.
+
+    A key that a table lacks or repeats stops the job; counting is part of the join's own shuffle.
+    """
     out = None
     for name, table in tables.items():
-        side = table.select(key, c(value).alias(name))
-        out = side if out is None else out.join(side, key)
-    return out
+        rows = F.count(F.lit(1))
+        side = table.groupBy(key).agg(only_one(F.max(value), rows, name).alias(name), rows.alias(f"_{name}"))
+        out = side if out is None else out.join(side, key, "full")
+    checked = [
+        F.when(c(f"_{name}").isNull(), F.raise_error(F.lit(f"{name} lacks a record"))).otherwise(c(name)).alias(name) for name in tables
+    ]
+    return out.select(key, *checked)
 
 
 def check_one_to_one(tables: dict[str, DataFrame], key: str) -> None:

@@ -20,9 +20,9 @@ def arithmetic_fold(number: Column, folds: int, seed: int = 42) -> Column:
     return ((number * 7919 + seed) % folds).cast("int")
 
 
-def seeded_fold(key: Column, folds: int, seed: int) -> Column:
+def seeded_fold(key: Column, folds: int, seed: int | Column) -> Column:
     """Fold from the first three digits of a seeded MD5: another partition for every seed, in any SQL engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    digest = F.md5(F.concat(F.lit(seed).cast("string"), F.lit(":"), key.cast("string")))
     digits = [F.instr(F.lit("123456789abcdef"), F.substring(digest, i, 1)) for i in (1, 2, 3)]
     return ((digits[0] * 256 + digits[1] * 16 + digits[2]) % folds).cast("int")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from freshet.constants import CATEGORICAL, ENCODING_PRODUCTS, TARGET, TARGET_ENCODINGS
@@ -76,6 +77,28 @@ def one_hot(spark, folder):
     return encoding.one_hot(obs, classes).drop(*HOT)
 
 
+def hot_places_sql() -> str:
+    ctes, picks, joins = "", [], ""
+    for n in HOT:
+        ctes += (f", h_{n} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS at"
+                 f" FROM (SELECT DISTINCT coalesce({n}, 'missing') AS v FROM train))")
+        picks.append(f"coalesce(h_{n}.at, -1) AS {n}_at, CASE WHEN h_{n}.at IS NULL THEN 0 ELSE 1 END AS {n}_ones")
+        joins += f" LEFT JOIN h_{n} ON h_{n}.v = coalesce(obs.{n}, 'missing')"
+    return over_obs(f"SELECT record_id, {', '.join(picks)} FROM obs{joins}", ctes)
+
+
+@query("one_hot_vectors", hot_places_sql())
+def one_hot_vectors(spark, folder):
+    """0/1 vectors of any number of classes, learnt from the training rows: where the one is, and how many there are."""
+    obs = observations(spark, folder).select("record_id", "split", *HOT)
+    found = encoding.fit_one_hot(labelled(obs), list(HOT)).transform(encoding.fill_missing(obs, list(HOT)))
+    out = []
+    for n in HOT:
+        values = vector_to_array(f"{n}_hot")
+        out += [(F.array_position(values, 1.0) - 1).cast("int").alias(f"{n}_at"), F.size(F.filter(values, lambda x: x != 0)).alias(f"{n}_ones")]
+    return found.select("record_id", *out)
+
+
 def full_te_sql(rows: str, y: str = "flood_risk_score", columns=TARGET_ENCODINGS, source: str = "train") -> str:
     picks, joins = [], ""
     for n, s in columns:
@@ -213,14 +236,18 @@ def fold_sizes(spark, folder):
     return obs.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def seeded_fold_sql(seed: str, count: int) -> str:
+    digit = lambda i: f"strpos('123456789abcdef', substr(md5({seed} || ':' || record_id), {i}, 1))"
+    return f"CAST(({digit(1)} * 256 + {digit(2)} * 16 + {digit(3)}) % {count} AS INT)"
+
+
 @query("repeated_folds", over_obs(
-    "SELECT record_id, CAST(repeat AS INT) AS repeat, CAST((number // CAST(pow(5, repeat) AS BIGINT) * 7919 + 42) % 5 AS INT) AS fold"
+    f"SELECT record_id, CAST(repeat AS INT) AS repeat, {seeded_fold_sql('CAST(42 + repeat AS VARCHAR)', 5)} AS fold"
     " FROM train, (SELECT unnest([0, 1, 2]) AS repeat)"))
 def repeated_folds(spark, folder):
-    """Three assignments to five folds: each repeat reads another digit of the number."""
-    train = labelled(observations(spark, folder)).select("record_id", "number")
-    digit = F.expr("number div cast(pow(5, repeat) as bigint)")
-    repeated = folds.with_repeated_folds(train, lambda r: folds.arithmetic_fold(digit, 5), 3)
+    """Three assignments to five folds, each by a hash with a seed of its own."""
+    train = labelled(observations(spark, folder)).select("record_id")
+    repeated = folds.with_repeated_folds(train, lambda r: folds.seeded_fold(c("record_id"), 5, r + 42), 3)
     return repeated.select("record_id", "repeat", "fold")
 
 

@@ -14,6 +14,7 @@ from freshet.operators.ordering import medians
 from freshet.operators.stats import rmse
 from freshet.plans.blend_queries import MODELS, RMSE, SCORES_CTE, inverse_sql, out_of_fold, predictions
 from freshet.plans.common import over_obs, over_predictions, over_scenarios, tidy, tidy_sql
+from freshet.plans.encoding_queries import seeded_fold_sql
 from freshet.plans.feature_queries import feature_table
 from freshet.plans.scenario_queries import scenarios
 from freshet.sources import files
@@ -215,11 +216,6 @@ SHORT = {"maxIter": 4, "numTrees": 3, "maxDepth": 4}
 GRID = ["cat_d4", "lgb_huber", "et_leaf5"]
 
 
-def seeded_fold_sql(seed: str, folds: int) -> str:
-    digit = lambda i: f"(strpos('123456789abcdef', substr(md5({seed} || ':' || record_id), {i}, 1)))"
-    return f"({digit(1)} * 256 + {digit(2)} * 16 + {digit(3)}) % {folds}"
-
-
 @query("grid_predictions", over_obs(f"""
 SELECT g.model, r.repeat, f.fold, s.split, (
     SELECT count(*) FROM obs WHERE split = s.split AND (split = 'test' OR {seeded_fold_sql("CAST(42 + r.repeat AS VARCHAR)", 2)} = f.fold)) AS "rows",

@@ -225,10 +225,18 @@ def table_shape(spark, folder):
 
 
 @query("non_finite", over_obs(" UNION ALL ".join(
-    f"SELECT '{n}' AS \"column\", count(*) - count({n}) AS missing, CAST(0 AS BIGINT) AS not_finite FROM obs"
-    for n in NUMERIC_INPUTS)))
+    f"SELECT '{n}' AS \"column\", count(*) - count(x) AS missing, count(*) FILTER (NOT isfinite(x)) AS not_finite FROM (SELECT"
+    f" CASE WHEN number % {i + 11} = 0 THEN CAST('inf' AS DOUBLE) WHEN number % {i + 13} = 1 THEN CAST('nan' AS DOUBLE)"
+    f" WHEN number % {i + 17} = 2 THEN CAST('-inf' AS DOUBLE) ELSE {n} END AS x FROM obs)"
+    for i, n in enumerate(NUMERIC_INPUTS))))
 def non_finite(spark, folder):
-    return stats.non_finite(observations(spark, folder), NUMERIC_INPUTS)
+    """Gaps and values that are not finite, in measures some of which have been spoilt."""
+    spoilt = {
+        n: F.when(c("number") % (i + 11) == 0, float("inf")).when(c("number") % (i + 13) == 1, float("nan"))
+        .when(c("number") % (i + 17) == 2, float("-inf")).otherwise(c(n))
+        for i, n in enumerate(NUMERIC_INPUTS)
+    }
+    return stats.non_finite(observations(spark, folder).withColumns(spoilt), NUMERIC_INPUTS)
 
 
 @query("place_mean_predictor", tidy_sql(over_obs(f"""
