@@ -38,12 +38,15 @@ CACHE = 400_000  # words that a worker keeps
 
 # Letters whose case mapping and normal form do not depend on their neighbours.
 _LETTERS = "a-zÀ-ÖØ-öø-įı-ɏ"
-_PLAIN = re.compile(f"[\x21-\x7e{_LETTERS}]+")
-# The pre-tokenizer of the vocabulary, for such words in lower case.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+# Words, one a line, that have any other character.
+_ODD_WORD = re.compile(f"^.*[^\x21-\x7e{_LETTERS}\n].*$", re.MULTILINE)
+# The pre-tokenizer of the vocabulary, for all other words in lower case, one a line.
+_PIECES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\n]+")
 # Python cuts at these, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile("[^ \t\n\r]+")
+# The last characters of words that may end a sentence.
+_CLOSING = frozenset(".!?…。！？\"')]»”’*")
 _SENTENCE_END = re.compile("[.!?…。！？][\"')\\]»”’*]*$")
 
 
@@ -85,10 +88,14 @@ class WordTokens:
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words: merged together if plain, else by the whole tokenizer."""
-        plain = [_PLAIN.fullmatch(w) is not None for w in words]
-        split = [_PIECES.findall(w.lower()) for w, p in zip(words, plain) if p]
+        odd = frozenset(_ODD_WORD.findall("\n".join(words)))
+        plain = [w not in odd for w in words] if odd else [True] * len(words)
+        lines = [w for w in words if w not in odd] if odd else words
+        pieces = _PIECES.findall("\n".join(lines).lower()) + ["\n"] * bool(lines)
+        breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, pieces), bool, len(pieces)))
+        split = np.diff(breaks, prepend=-1) - 1  # pieces per word
         numbers = Numbers()
-        order = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64)
+        order = np.fromiter(map(numbers.__getitem__, filter("\n".__ne__, pieces)), np.int64, len(pieces) - len(breaks))
         raw = [piece.encode() for piece in numbers]
         symbols = np.frombuffer(b"".join(raw), np.uint8)
         lengths = np.array([len(p) for p in raw], np.int64)
@@ -98,7 +105,7 @@ class WordTokens:
         ids, counts = self.pairs.merge(ids, lengths)
         sizes = counts[order]
         ids = ids[expand((np.cumsum(counts) - counts)[order], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(split)])]
         other = [self.tokenizer.encode(w, add_special_tokens=False).ids for w, p in zip(words, plain) if not p]
         sizes = np.empty(len(words), np.int64)
         starts = np.empty(len(words), np.int64)
@@ -109,7 +116,7 @@ class WordTokens:
         self.starts = np.concatenate([self.starts, len(self.flat) + starts])
         self.lengths = np.concatenate([self.lengths, sizes])
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32), np.array([t for x in other for t in x], np.uint32)])
-        self.ends = np.concatenate([self.ends, np.array([_SENTENCE_END.search(w[-8:]) is not None for w in words], bool)])
+        self.ends = np.concatenate([self.ends, np.array([w[-1] in _CLOSING and _SENTENCE_END.search(w[-8:]) is not None for w in words], bool)])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per text its ids and the places (in ids) right after sentence ends."""
@@ -149,7 +156,12 @@ def choose_cuts(
     powers = [1 << k for k in range(max(capacity.bit_length() - 4, 0), capacity.bit_length()) if 1 << k < capacity]
     best = [0.0] * len(places)
     came = [0] * len(places)
-    at = {places[0]: 0}
+    exact: dict[int, list[int]] = {}  # per place those that lie a power of two before it
+    where = np.asarray(places)
+    for power in powers:
+        before = np.searchsorted(where, where - power)
+        for j in np.flatnonzero(where[before] == where - power).tolist():
+            exact.setdefault(j, []).append(int(before[j]))
     queue = [0]  # indices with rising best + place
     keys = [float(places[0])]
     head = 0
@@ -159,13 +171,12 @@ def choose_cuts(
             head += 1
         i = queue[head]
         cost = keys[head] + capacity - place
-        for power in powers:
-            k = at.get(place - power)
-            if k is not None and best[k] < cost:
-                cost, i = best[k], k
+        if j in exact:
+            for k in exact[j]:
+                if best[k] < cost:
+                    cost, i = best[k], k
         cost += window + costs[j]
         best[j], came[j] = cost, i
-        at[place] = j
         key = cost + place
         while len(keys) > head and keys[-1] > key:
             keys.pop()
