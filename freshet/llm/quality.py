@@ -111,13 +111,14 @@ def fit(
     is broadcast to the documents, which are not shuffled. With one label only, or none, every
     score is that label's (0.5 without any).
     """
-    known = (
-        labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
-        .groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).cast("double").alias("label"))
-    )
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
+    known = known.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("label"))
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
     total = known.count()
     share = min(1.0, rows / max(total, 1))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # Under private names, whatever the tables' other columns are called.
+    texts = docs.select(F.col(doc_id).alias("id"), _frame(F.col(text), metadata).alias("frame"))
 
     @F.pandas_udf("struct<at: binary, values: binary>")
     def featured(frame: pd.DataFrame) -> pd.DataFrame:
@@ -127,8 +128,7 @@ def fit(
         })
 
     sample = (
-        docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_id"])
-        .select(F.xxhash64("_id").alias("place"), "label", featured(_frame(F.col(text), metadata)).alias("f"))
+        texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("place"), "label", featured(F.col("frame")).alias("f"))
         .select("place", "label", "f.at", "f.values").toPandas().sort_values(["place", "label"], kind="stable")
     )
     width = size + len(STRUCTURE) + len(metadata)
