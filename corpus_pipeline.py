@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from freshet.durable import scratch
 from freshet.llm import language, ngram_join, packing, personal_data, quality
-from freshet.llm.common import remainder, table
+from freshet.llm.common import remainder, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,10 +32,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter and undecided ones go."""
     parser = language.fit(docs.where(remainder("doc_id", 4) != 2))
-    found = language.language(parser, F.col("text"))
-    return docs.withColumn("_found", found).where(
-        (F.col("_found.lang") != "und") & (F.col("_found.score") >= LEAST_LANGUAGE_SHARE)
-    ).drop("_found")
+    name = unused(docs, "_found")
+    found = docs.withColumn(name, language.language(parser, F.col("text")))
+    return found.where((F.col(name)["lang"] != "und") & (F.col(name)["score"] >= LEAST_LANGUAGE_SHARE)).drop(name)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
