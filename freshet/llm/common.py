@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Gives freed memory of this worker back to the system, which allocators keep for later.
+
+    Workers live on between tasks and stages; call it where large arrays have gone.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words(text: str | None) -> list[bytes]:
     """The UTF-8 words of a text with A-Z in lower case; none for null."""
     if not text:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import text_blocks
+from freshet.llm.common import release, text_blocks
 
 # Symbols of labelled text per language, symbols that a language tells apart, those of them that its
 # rarer letters share, and rows asked for per language.
@@ -252,5 +252,6 @@ def language(parser: Parser, text: Column) -> Column:
                 out += parser.predict(batch.iloc[start : start + len(block)].tolist())
                 start += len(block)
             yield pd.DataFrame(out, columns=["lang", "score"])
+        release()
 
     return work(text.cast("string"))

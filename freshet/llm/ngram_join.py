@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.durable import lookup, materialize
-from freshet.llm.common import expand, mix, runs, unused, words
+from freshet.llm.common import expand, mix, release, runs, unused, words
 from freshet.llm.components import components
 
 WIDTH = 5
@@ -137,6 +137,7 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
                 "doc_id": pd.array([None] * CHUNKS, dtype="Int64"), "n": 0, "node": pd.array([None] * CHUNKS, dtype="Int64"),
                 "chunk": range(CHUNKS), "counts": [zlib.compress(p.tobytes(), 1) for p in parts],
             })
+        release()
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = materialize(chosen.mapInPandas(work, "doc_id long, n long, node long, chunk int, counts binary"))
@@ -227,6 +228,8 @@ def _postings(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
                 size = 0
         if held:
             yield flush()
+        held.clear()
+        release()
 
     columns = ["bucket", "sigs", "owners", "nodes", "sizes", "sig", "node", "n", "place", "lead"]
     chosen = docs.select(F.col(text).cast("string").alias("text"))
@@ -331,6 +334,7 @@ def _made(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
             if len(seen) > 100_000:
                 seen.clear()
             yield pd.DataFrame(sets, columns=["node", "n", "keys"])
+        release()
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

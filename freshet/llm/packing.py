@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import Numbers, expand, text_blocks
+from freshet.llm.common import Numbers, expand, release, text_blocks
 from freshet.llm.pair_merging import Pairs
 
 CAPACITY = 2048
@@ -289,6 +289,7 @@ def packed(
                     if packer.held - packer.done > BUFFER:
                         yield pd.DataFrame(packer.flush(False), columns=COLUMNS)
         yield pd.DataFrame(packer.flush(True), columns=COLUMNS)
+        release()
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInPandas(

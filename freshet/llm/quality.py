@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import words
+from freshet.llm.common import release, words
 
 # Hashed word features (all features are numbered below 2^16), factors per feature, and labelled
 # rows that a fit may use.
@@ -183,6 +183,8 @@ def quality_score(machine: Machine, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([machine.score(*features(t, m, machine.words)) for t, m in _rows(frame)], dtype=float)
+        out = pd.Series([machine.score(*features(t, m, machine.words)) for t, m in _rows(frame)], dtype=float)
+        release()
+        return out
 
     return score(_frame(text, machine.metadata))
