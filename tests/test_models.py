@@ -217,3 +217,22 @@ def test_training_queries_return_both_splits(spark, folder, name):
 
     rows = model_queries.QUERIES[name](spark, folder).groupBy("split").count().collect()
     assert {r["split"] for r in rows} == {"train", "test"} and all(r["count"] > 0 for r in rows)
+
+
+def test_repeated_or_missing_predictions_stop_a_blend(spark):
+    a = spark.createDataFrame([(1, 0.1), (2, 0.2)], "id long, p double")
+    twice = spark.createDataFrame([(1, 0.1), (2, 0.2), (2, 0.3)], "id long, p double")
+    for other in (twice, a.where("id = 1"), a.unionByName(spark.createDataFrame([(3, 0.3)], a.schema))):
+        with pytest.raises(Exception, match="more than once|lacks a record"):
+            blending.aligned({"a": a, "b": other}, "id", "p").collect()
+    preds = twice.withColumn("model", F.lit("m")).withColumnRenamed("p", "pred")
+    with pytest.raises(Exception, match="more than once"):
+        blending.stack(preds, ["m"], ["id"]).collect()
+
+
+def test_seeded_folds_differ_by_seed(spark):
+    from freshet.operators import folds
+
+    rows = spark.range(3000).select(*[folds.seeded_fold(c("id"), 5, s).alias(f"f{s}") for s in (1, 2)]).toPandas()
+    assert rows.f1.value_counts().between(500, 700).all()
+    assert 0.15 < (rows.f1 == rows.f2).mean() < 0.25
