@@ -102,3 +102,11 @@ def test_lookup_keeps_unmatched_rows(spark):
     for limit in (10, 0):
         rows = lookup(facts, stats, ["k"], weight="n", broadcast_rows=limit).orderBy("id").collect()
         assert [r["v"] for r in rows] == [5, None, None]
+
+
+@pytest.mark.parametrize("limit", [100_000, 20])
+def test_percent_ranks_of_small_and_large_groups(spark, frame, skewed, limit):
+    """Groups up to the limit are ordered in one shuffle; either way gives the same ranks."""
+    got = ordering.percent_ranks(frame, "g", ["x", "z"], ["id"], "_r", group_rows=limit).toPandas().set_index("id").sort_index()
+    for name in ("x", "z"):
+        np.testing.assert_allclose(got[f"{name}_r"].astype(float), skewed.groupby("g")[name].rank(pct=True), rtol=1e-12)
