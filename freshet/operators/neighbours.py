@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 from freshet.durable import materialize
 
 c = F.col
-BLOCK_ROWS = 4096
+# Rows of a block: more for more rows, as every pair of a block and a chunk ships both.
+BLOCK_ROWS, MOST_ROWS = 4096, 16384
+# Copies of queries that are handed on at once, and queries whose distances a task holds.
+ROUTED_ROWS, SEARCHED_ROWS = 4096, 256
+# Blocks that keep a cluster busy; beyond them blocks grow first.
+BLOCKS = 16
 # Pivots per root of the number of blocks: their number grows with the data, but slower.
 PIVOTS_PER_ROOT = 16
 
@@ -66,7 +71,7 @@ def assign_cells(refs: DataFrame, key: str, vector: str, pivots: np.ndarray) ->
 
 def nearest(
     queries: DataFrame, refs: DataFrame, key: str, vector: str, k: int, group: str | None = None,
-    block_rows: int = BLOCK_ROWS, pivots: int | None = None,
+    block_rows: int | None = None, pivots: int | None = None,
 ) -> DataFrame:
     """(key, ref_key, distance, position): the k nearest references of every query.
 
@@ -80,7 +85,9 @@ def nearest(
         F.coalesce((c(group) if group else F.lit(none)).cast("bigint"), F.lit(none)).cast("bigint").alias("_g"),
     )
     id_kind = dict(side(refs, -2).dtypes)["_id"]
-    parts = max(1, refs.count() // block_rows)
+    number = refs.count()
+    block_rows = block_rows or min(MOST_ROWS, max(BLOCK_ROWS, number // BLOCKS))
+    parts = max(1, number // block_rows)
     pivots = pivots or max(1, min(parts, int(PIVOTS_PER_ROOT * math.sqrt(parts))))
     centres = pick_pivots(refs, key, vector, pivots)
     if not len(centres):
@@ -102,6 +109,7 @@ def nearest(
     full = np.array([total[x] for x in labels])
 
     def route(batches):
+        """A query goes to many blocks: copies are handed on a block's worth at a time."""
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -116,10 +124,17 @@ def nearest(
                     for block in range(blocks[labels[at]]):
                         rows.append(i)
                         places.append((labels[at], block))
-            out = pdf.iloc[rows].copy()
-            out["cell"] = np.array([p[0] for p in places], dtype="int32")
-            out["block"] = np.array([p[1] for p in places], dtype="int32")
-            yield out
+                        if len(rows) == ROUTED_ROWS:
+                            yield routed(pdf, rows, places)
+                            rows, places = [], []
+            if rows:
+                yield routed(pdf, rows, places)
+
+    def routed(pdf, rows, places):
+        out = pdf.iloc[rows].copy()
+        out["cell"] = np.array([p[0] for p in places], dtype="int32")
+        out["block"] = np.array([p[1] for p in places], dtype="int32")
+        return out
 
     chunk = F.pmod(F.xxhash64("_id"), F.lit(chunks)).cast("int")
     sent = materialize(
@@ -135,19 +150,26 @@ def nearest(
     ).join(wanted, ["cell", "block"])
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            d = distances(matrix(left["_v"]), matrix(right["_v"]))
-            if exclude:
-                d[left["_g"].to_numpy()[:, None] == right["_g"].to_numpy()[None, :]] = np.inf
-            ids = right["_id"].to_numpy()
-            for i, query in enumerate(left["_id"]):
-                order = np.lexsort((ids, d[i]))[:k]
-                order = order[np.isfinite(d[i][order])]
-                out.append(pd.DataFrame({key: query, "ref_key": ids[order], "distance": d[i][order]}))
-        if not out:
+        """The k nearest references of the block for every query, some queries at a time."""
+        if not len(left) or not len(right):
             return pd.DataFrame({key: [], "ref_key": [], "distance": []})
-        return pd.concat(out, ignore_index=True)
+        refs_here, ids, groups = matrix(right["_v"]), right["_id"].to_numpy(), right["_g"].to_numpy()
+        places, near, far = [], [], []
+        for at in range(0, len(left), SEARCHED_ROWS):
+            part = left.iloc[at:at + SEARCHED_ROWS]
+            d = distances(matrix(part["_v"]), refs_here)
+            d[~np.isfinite(d)] = np.inf
+            if exclude:
+                d[part["_g"].to_numpy()[:, None] == groups[None, :]] = np.inf
+            for i, own in enumerate(d):
+                last = np.partition(own, k - 1)[k - 1] if k < len(own) else np.inf
+                kept = np.nonzero((own <= last) & (own < np.inf))[0]
+                kept = kept[np.lexsort((ids[kept], own[kept]))[:k]]
+                places.append(np.full(len(kept), at + i))
+                near.append(ids[kept])
+                far.append(own[kept])
+        names = left["_id"].to_numpy()[np.concatenate(places)]
+        return pd.DataFrame({key: names, "ref_key": np.concatenate(near), "distance": np.concatenate(far)})
 
     found = sent.groupBy("cell", "block", "chunk").cogroup(
         held.groupBy("cell", "block", "chunk")

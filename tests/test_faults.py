@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from freshet.durable import lookup, materialize
 from freshet.functions import features, scalars
-from freshet.operators import blending, logs, stacking, stats, training
+from freshet.operators import blending, logs, neighbours, stacking, stats, training
 from freshet.plans.common import tidy
 from freshet.sources import files
 
@@ -184,3 +184,18 @@ def test_one_hot_vectors_of_many_classes(spark):
     out = model.transform(encoding.fill_missing(rows, ["k", "g"])).collect()
     assert out[0]["k_hot"].size == 12_000 and out[0]["k_hot"].numNonzeros() == 1 and out[1]["k_hot"].numNonzeros() == 0
     assert [r["g_hot"].toArray().tolist() for r in out] == [[0.0, 1.0], [1.0, 0.0]]
+
+
+def test_neighbour_routing_in_small_parts(spark, monkeypatch):
+    """Copies of queries and distances are held a few at a time, with the same neighbours."""
+    monkeypatch.setattr(neighbours, "ROUTED_ROWS", 7)
+    monkeypatch.setattr(neighbours, "SEARCHED_ROWS", 3)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, size=(60, 3)).astype(float)  # many equal distances
+    df = spark.createDataFrame([(i, row.tolist(), i % 3) for i, row in enumerate(x)], "id long, v array<double>, g int")
+    found = neighbours.nearest(df, df, "id", "v", 4, group="g", block_rows=9, pivots=3).toPandas()
+    got = found.sort_values(["id", "position"]).groupby("id")["ref_key"].apply(list)
+    for i in range(60):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = [j for j in np.lexsort((np.arange(60), d)) if j % 3 != i % 3][:4]
+        assert got[i] == order
