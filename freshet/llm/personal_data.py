@@ -1,10 +1,10 @@
 """Personal data: overlapping candidate spans, boosted trees, calibrated thresholds.
 
 Everything is DataFrame expressions: generators find candidates by pattern, with their places;
-Spark ML's gradient boosted trees learn from a bounded sample of candidates which formats and
+Spark ML's gradient boosted trees learn from all strict candidates, counted by their features, which formats and
 contexts go with valid data, and are then written out as one expression over a text's
 candidates. Valid candidates of the strict patterns always stay; others are added where their
-score reaches the threshold of their kind, set for precision on the part of the sample that the
+score reaches the threshold of their kind, set for precision on the part of them that the
 trees did not see.
 """
 
@@ -23,8 +23,7 @@ from freshet.llm.common import unused
 
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL, IP, CARD, PHONE = range(4)
-# Candidates that a fit may use, its trees, and the precision that thresholds aim at.
-SAMPLE_ROWS = 20_000
+# Trees of a fit, and the precision that thresholds aim at.
 TREES, DEPTH = 12, 3
 PRECISION = 0.99
 CONTEXT = 24
@@ -193,29 +192,29 @@ def parse_tree(lines: list[str]):
     return int(split[1]), float(split[2]), left, parse_tree(lines)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, seed: int = 3) -> Detector:
-    """Learn from at most about `rows` candidates of the strict patterns.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 3) -> Detector:
+    """Learn from all candidates of the strict patterns, counted by their features.
 
-    Whether a candidate is valid labels it. The sample is chosen by a hash of the candidate, so
-    copies are chosen together. Four fifths fit the trees; the last fifth sets the thresholds:
+    Whether a candidate is valid labels it. Four fifths, chosen by a hash of the candidate, so that
+    copies are chosen together, fit the trees; the last fifth sets the thresholds:
     per kind the lowest of a hundred at which precision is PRECISION or more, or above 1 if none is.
     Without candidates of both labels the base spans alone remain.
     """
     found = with_candidates(docs.select(F.col(text).alias("text")), "text", "_c").select(F.explode("_c").alias("c")).where("c.strict")
-    found = found.withColumn("place", F.pmod(F.xxhash64("c.s", "c.before", F.lit(seed)), F.lit(1 << 30)))
-    found = materialize(found.select("place", valid(F.col("c")).cast("int").alias("label"), features(F.col("c")).alias("f")))
-    total = found.count()
-    share = min(1 << 30, (rows << 30) // max(total, 1))
-    sample = found.where(F.col("place") < share).select("place", "label", *[F.col(f"f.{n}").alias(n) for n in FEATURES])
-    sample = materialize(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample))
-    learnt, unseen = sample.where("place % 5 != 0"), sample.where("place % 5 = 0")
+    place = F.pmod(F.xxhash64("c.s", "c.before", F.lit(seed)), F.lit(1 << 30))
+    found = found.select((place % 5 == 0).alias("held"), valid(F.col("c")).cast("int").alias("label"), features(F.col("c")).alias("f"))
+    # Features are clipped counts and flags: there are few combinations, however many candidates.
+    counted = found.groupBy("held", "label", *[F.col(f"f.{n}").alias(n) for n in FEATURES]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counted = materialize(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(counted))
+    learnt, unseen = counted.where("NOT held"), counted.where("held")
     if learnt.select("label").distinct().count() < 2:
         return Detector((), (), (2.0,) * len(KINDS))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=32).fit(learnt.coalesce(4))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=32, weightCol="n").fit(learnt)
     trees = tuple(parse_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees)
     detector = Detector(trees, tuple(model.treeWeights), ())
-    scored = unseen.select("kind", "label", F.floor(100 * detector.score(F.struct(*FEATURES))).cast("int").alias("bin"))
-    counts = scored.groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    scored = unseen.select("kind", "label", "n", F.floor(100 * detector.score(F.struct(*FEATURES))).cast("int").alias("bin"))
+    counts = scored.groupBy("kind", "bin").agg(
+        F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     thresholds = []
     for kind in range(len(KINDS)):
         own = sorted(((r["bin"], r["good"], r["n"]) for r in counts if r["kind"] == kind), reverse=True)

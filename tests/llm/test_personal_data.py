@@ -118,3 +118,21 @@ def test_nothing_to_learn_from(spark, documents, no_documents):
 def test_no_python_in_the_plan(spark, detector, documents):
     plan = personal.span_report(documents, detector)._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("Scan ExistingRDD", "") and "Arrow" not in plan
+
+
+def test_fit_learns_from_every_candidate(spark, monkeypatch):
+    """Four fifths of 30,000 candidates fit the trees: none is left out, as those beyond a sample were."""
+    from pyspark.sql import functions as F
+
+    seen = []
+
+    class Spy(personal.GBTClassifier):
+        def fit(self, df):
+            seen.append(df.agg(F.sum("n")).first()[0] if "n" in df.columns else df.count())
+            return super().fit(df)
+
+    monkeypatch.setattr(personal, "GBTClassifier", Spy)
+    text = F.concat(F.lit("at "), (F.col("id") % 300).cast("string"), F.lit(".1.2."), F.col("id").cast("string"))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    personal.fit(docs)
+    assert 23_000 < seen[0] < 25_000
