@@ -110,3 +110,26 @@ def test_percent_ranks_of_small_and_large_groups(spark, frame, skewed, limit):
     got = ordering.percent_ranks(frame, "g", ["x", "z"], ["id"], "_r", group_rows=limit).toPandas().set_index("id").sort_index()
     for name in ("x", "z"):
         np.testing.assert_allclose(got[f"{name}_r"].astype(float), skewed.groupby("g")[name].rank(pct=True), rtol=1e-12)
+
+
+def test_medians_order_few_values(spark, monkeypatch):
+    """Only values near the median are ordered, and a range that misses it is not trusted."""
+    ordered = []
+    climb = ordering.climb
+    monkeypatch.setattr(ordering, "SMALL_ROWS", 1000)
+    monkeypatch.setattr(ordering, "climb", lambda steps, *a: climb(ordered.append(steps.count()) or steps, *a))
+    df = spark.range(20_000).select(F.hash("id").alias("x"), (c("id") % 2).alias("flag"), F.lit(None).cast("double").alias("none"))
+    rows = df.toPandas()
+    wanted = {"x": rows["x"].median(), "flag": rows["flag"].median()}
+    assert ordering.medians(df, ["x", "flag", "none"]) == wanted
+    assert sum(ordered) < 1000
+    monkeypatch.setattr(ordering, "near_quantiles", lambda df, n, q: {(i, 0): (5e9, 6e9) for i in range(n)})
+    assert ordering.medians(df, ["x", "flag", "none"]) == wanted
+
+
+def test_column_quantiles_of_nan_and_ends(spark):
+    df = spark.createDataFrame([(float(i), float("nan") if i > 2 else float(i)) for i in range(6)], "x double, y double")
+    wanted = {"lo": 0.0, "p25": 0.25, "hi": 1.0}
+    rows = {r["column"]: r for r in ordering.column_quantiles(df, ["x", "y"], wanted).collect()}
+    assert [rows["x"][n] for n in wanted] == [0.0, 1.25, 5.0]
+    assert [str(rows["y"][n]) for n in wanted] == ["0.0", "1.25", "nan"]
