@@ -209,7 +209,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int =
     learnt, unseen = counted.where("NOT held"), counted.where("held")
     if learnt.select("label").distinct().count() < 2:
         return Detector((), (), (2.0,) * len(KINDS))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=32, weightCol="n").fit(learnt)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=32, weightCol="n").fit(learnt.coalesce(4))
     trees = tuple(parse_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees)
     detector = Detector(trees, tuple(model.treeWeights), ())
     scored = unseen.select("kind", "label", "n", F.floor(100 * detector.score(F.struct(*FEATURES))).cast("int").alias("bin"))
