@@ -15,7 +15,8 @@ arrays by hash bucket; frequent shingles go through plain joins. A list first li
 to a few of it: the smallest, the most central (it has least of its own, as the origin of a group
 of near copies does), and in long lists some picked by hash. Only members of different components
 are then compared with each other, a block of a list with a block in a task, so groups of copies
-never become all their pairs, and no link between components is missed.
+never become all their pairs, and no link between components is missed. Sets that share a passage
+meet in a list per shingle of it; the pair is handed on by one list, not by all of them.
 Candidates are pruned by an upper bound of their overlap, which counts of hashes per slot of the
 hash space give (about n / 4 bytes for n shingles, from the first pass), and the few that pass are
 verified by the exact Jaccard of their sets.
@@ -41,9 +42,9 @@ WIDTH = 5
 PERCENT = 75
 # Counters of the sketch of shingle frequencies, cut into chunks, and shingles per bucket of lists.
 SKETCH, CHUNKS = 1 << 22, 16
-BUCKET = 1_500_000
+BUCKET = 500_000
 # Distinct-set shingles that a task holds before it hands them on.
-HELD = 6_000_000
+HELD = 1_500_000
 # Bits of the filter that finds the documents whose sets are needed.
 NEEDED_BITS = 1 << 23
 LARGEST_SMALL = 48
@@ -51,8 +52,9 @@ LARGEST_SMALL = 48
 # it is long. Stars of frequent shingles take a set's first LEADS such lists; what stars leave
 # apart is compared through all lists.
 STARS, LONG_LIST, LEADS = 4, 8, 3
-# Members of a list that are compared in one task with as many others.
-BLOCK = 2048
+# Members of a list that are compared in one task with as many others, the lists of a set that show
+# whether a pair is handed on elsewhere, and pairs that are looked at together.
+BLOCK, FIRSTS, PAIRS = 2048, 16, 1 << 16
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -465,14 +467,18 @@ def _crossed(own: DataFrame, percent: int) -> DataFrame:
     sizes = materialize(sizes.where("most < all"))
     rest = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
     main = F.ceil(F.col("most") / BLOCK).cast("int")
-    own = lookup(own, sizes, ["list"], weight=None).where("all IS NOT NULL").withColumn("is_main", F.col("c") == F.col("main"))
+    own = materialize(lookup(own, sizes, ["list"], weight=None).where("all IS NOT NULL").withColumn("is_main", F.col("c") == F.col("main")))
+    # A pair is handed on by the least of its lists, as far as the first lists of both ends show it.
+    # Only lists where places exclude nothing count: there a pair fits if it fits in any list.
+    firsts = own.where("place = 0").groupBy("node", "n", "c").agg(F.slice(F.array_sort(F.collect_set("list")), 1, FIRSTS).alias("firsts"))
+    own = own.join(firsts, ["node", "n", "c"], "left")
     # Others are blocks 0 .. rest - 1, those of the largest c follow.
     number = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
     block = F.when(F.col("is_main"), rest + number(main)).otherwise(number(rest)).cast("int")
     own = own.withColumn("block", block)
     partner = F.when(F.col("is_main"), F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + main - 1))
     met = own.withColumn("partner", F.explode(partner)).select(
-        "list", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block", "node", "n", "place", "c"
+        "list", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block", "node", "n", "place", "c", "firsts"
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -480,28 +486,54 @@ def _crossed(own: DataFrame, percent: int) -> DataFrame:
             key = frame[["list", "i", "j"]].to_numpy()
             cuts = [*np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))).tolist(), len(key)]
             columns = [frame[c].to_numpy(np.int64) for c in ("node", "n", "place", "c", "block")]
+            firsts = _padded(frame["firsts"])
             found = []
             for low, high in zip(cuts, cuts[1:]):
-                found.append(_block_pairs(*[x[low:high] for x in columns], bool(key[low, 1] == key[low, 2]), percent))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                x, y = _block_pairs(*[v[low:high] for v in columns[1:]], bool(key[low, 1] == key[low, 2]), percent)
+                found.append((x + low, y + low))
+            x, y = (np.concatenate(v) for v in zip(*found))
+            for at in range(0, len(x), PAIRS):
+                a, b = x[at : at + PAIRS], y[at : at + PAIRS]
+                here = _least_shared(key[a, 0], firsts[a], firsts[b])
+                ends = np.sort(np.stack([columns[0][a[here]], columns[0][b[here]]], 1), axis=1)
+                pairs = np.unique(ends, axis=0)
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     dealt = met.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _block_pairs(node, n, place, c, block, same: bool, percent: int) -> np.ndarray:
-    """The pairs of one or of two blocks that differ in c and may link by sizes and places."""
-    left = np.arange(len(node)) if same else np.flatnonzero(block == block.min())
+def _padded(lists: pd.Series) -> np.ndarray:
+    """Rows of FIRSTS list ids, filled up with the largest long, which is less than no list."""
+    out = np.full((len(lists), FIRSTS), np.iinfo(np.int64).max)
+    lengths = np.array([0 if own is None else len(own) for own in lists])
+    if lengths.any():
+        out[np.arange(FIRSTS) < lengths[:, None]] = np.concatenate([own for own in lists if own is not None])
+    return out
+
+
+def _least_shared(lists: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether no list before this one is among the first lists of both ends."""
+    before = np.zeros(len(lists), bool)
+    for k in range(left.shape[1]):
+        own = left[:, k]
+        before |= (own < lists) & (right == own[:, None]).any(1)
+    return ~before
+
+
+def _block_pairs(n, place, c, block, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends' places of the pairs of one or of two blocks that differ in c and may link by sizes and places."""
+    left = np.arange(len(n)) if same else np.flatnonzero(block == block.min())
     right = left if same else np.flatnonzero(block != block.min())
-    out = [np.empty((0, 2), np.int64)]
+    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for x in left.tolist():
         y = right[right > x] if same else right
         room = np.minimum(n[x] - place[x], n[y] - place[y])  # what a first common shingle at these places leaves to share
         fits = (c[y] != c[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
         y = y[fits & ((100 + percent) * room >= percent * (n[x] + n[y]))]
-        out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
-    return np.concatenate(out)
+        xs.append(np.full(len(y), x))
+        ys.append(y)
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

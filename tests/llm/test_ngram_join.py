@@ -167,6 +167,24 @@ def test_crossed_blocks_give_all_pairs(spark, monkeypatch, block):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_pair_is_handed_on_by_one_of_its_lists(spark, monkeypatch):
+    """12 sets that meet in 30 lists are 66 pairs, not 1,980; those that meet in a later list only are kept."""
+    made = spark.sparkContext.accumulator(0)
+    plain = join._least_shared
+
+    def counted(*args):
+        out = plain(*args)
+        made.add(int(out.sum()))
+        return out
+
+    monkeypatch.setattr(join, "_least_shared", counted)
+    rows = [(k, i, 20, 0, i) for k in range(30) for i in range(12)] + [(99, i, 20, 1, i) for i in (0, 5, 40)]
+    own = spark.createDataFrame(rows, "list long, node long, n long, place long, c long")
+    got = {tuple(r) for r in join._crossed(own, 75).collect()}
+    assert got == {(i, j) for j in range(12) for i in range(j)} | {(0, 40), (5, 40)}
+    assert made.value == 68
+
+
 def test_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500), (7, 7), (None, 3), (900, 901)]
     out = components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()
