@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import clip_unit
-from freshet.operators.ordering import ordinal_positions
+from freshet.operators.ordering import ordinal_positions, slices
 from freshet.operators.stats import prediction_metrics
 
 c = F.col
@@ -152,4 +152,5 @@ def rank_average(preds: DataFrame, groups: list[str], ids: str) -> DataFrame:
     """
     placed = ordinal_positions(preds, groups, "pred", ids)
     keep = [g for g in groups if g != "model"]
+    placed = placed.repartition(slices(preds, preds.count()), *keep, ids)
     return placed.groupBy(*keep, ids).agg(F.avg(c("position") / c("rows")).alias("rank"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from freshet.durable import lookup, materialize
 from freshet.operators.ordering import (
-    group_quantiles, ordinal_positions, value_ladder,
+    group_quantiles, ordinal_positions, slices, value_ladder,
 )
 
 c = F.col
@@ -28,7 +28,8 @@ def ordered_values(df: DataFrame, value: str, key: str) -> DataFrame:
             )
         ).alias("_p")
     ).select("_p.*")
-    return pairs.where(c("position") >= 0).groupBy("position").agg(
+    pairs = pairs.where(c("position") >= 0).repartition(slices(placed, placed.count()), "position")
+    return pairs.groupBy("position").agg(
         F.max("here").alias("here"), F.max("next").alias("next")
     )
 
@@ -36,11 +37,12 @@ def ordered_values(df: DataFrame, value: str, key: str) -> DataFrame:
 def remap_ranks(ranked: DataFrame, target: DataFrame, value: str, key: str) -> DataFrame:
     """Adds `pred`: the target value at each rank in [0, 1], interpolated."""
     places = ordered_values(target, value, key)
-    last = target.where(c(value).isNotNull()).count() - 1
+    rows = target.where(c(value).isNotNull()).count()
+    last = rows - 1
     at = ranked.withColumn("_spot", F.least(c("rank"), F.lit(1.0)) * last).withColumn(
         "position", F.floor("_spot")
     )
-    joined = at.join(places, "position", "left")
+    joined = at.repartition(slices(target, rows), "position").join(places, "position", "left")
     mixed = c("here") + (F.coalesce("next", "here") - c("here")) * (c("_spot") - c("position"))
     return joined.withColumn("pred", mixed).drop("_spot", "position", "here", "next")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.durable import lookup, materialize
-from freshet.operators import ordering
+from freshet.operators import blending, calibrate, ordering
 
 c = F.col
 
@@ -133,3 +133,15 @@ def test_column_quantiles_of_nan_and_ends(spark):
     rows = {r["column"]: r for r in ordering.column_quantiles(df, ["x", "y"], wanted).collect()}
     assert [rows["x"][n] for n in wanted] == [0.0, 1.25, 5.0]
     assert [str(rows["y"][n]) for n in wanted] == ["0.0", "1.25", "nan"]
+
+
+def test_ranks_take_more_tasks_for_more_rows(spark, monkeypatch):
+    """A task's rows depend on the slice, not on the session's four shuffle partitions."""
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 100)
+    preds = materialize(spark.range(3000).selectExpr("'a' AS model", "'r' || id AS record_id", "id * 7919 % 3001 / 3001 AS pred"))
+    ranked = blending.rank_average(preds, ["model"], "record_id")
+    target = preds.select("record_id", F.col("pred").alias("y"))
+    mapped = calibrate.remap_ranks(ranked, target, "y", "record_id")
+    for df in (ordering.ordinal_positions(preds, ["model"], "pred", "record_id"), ranked, mapped):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 700
