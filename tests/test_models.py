@@ -236,3 +236,22 @@ def test_seeded_folds_differ_by_seed(spark):
     rows = spark.range(3000).select(*[folds.seeded_fold(c("id"), 5, s).alias(f"f{s}") for s in (1, 2)]).toPandas()
     assert rows.f1.value_counts().between(500, 700).all()
     assert 0.15 < (rows.f1 == rows.f2).mean() < 0.25
+
+
+def test_cross_validation_makes_its_vectors_once(spark, wide):
+    """Fits read rows that executors hold: a pass of a tree does not make them anew, and nothing stays held."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def looked_at(values: pd.Series) -> pd.Series:
+        seen.add(len(values))
+        return values
+
+    train = wide.select("record_id", "y", looked_at("a").alias("x"), "b", (F.substring("record_id", 2, 9).cast("int") % 2).alias("fold"))
+    test = wide.limit(10).select("record_id", c("a").alias("x"), "b")
+    for config in (training.grid()[0], training.extra_configs()[1]):
+        seen.value = 0
+        preds = training.cross_validate(train, test, ["x", "b"], "y", config, 42, 2, maxIter=2, numTrees=2, maxDepth=2)
+        assert seen.value == 400
+        assert preds.count() == 400 + 2 * 10
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
