@@ -139,9 +139,12 @@ def _normal(c: Column) -> Column:
     )
 
 
-def features(c: Column) -> Column:
-    """Format and context of a candidate, as a struct of doubles."""
-    s = _normal(c)
+def features(c: Column, s: Column | None = None) -> Column:
+    """Format and context of a candidate, as a struct of doubles.
+
+    `s` is its text in the strict patterns' form, if that is a column already: most features read it.
+    """
+    s = _normal(c) if s is None else s
     number, size = F.length(_digits(s)), F.length(s)
     parts = F.transform(F.slice(F.split(s, "[^0-9]+"), 1, 12), lambda p: F.length(F.regexp_replace(p, "^0+", "")))
     values = {
@@ -166,15 +169,18 @@ class Detector:
     weights: tuple[float, ...]
     thresholds: tuple[float, ...]
 
-    def score(self, f: Column) -> Column:
-        """Probability that a candidate with these features is valid."""
+    def score(self, f: Column | dict[str, Column]) -> Column:
+        """Probability that a candidate with these features is valid.
+
+        `f` is read at every node of a tree, so it should be a struct that is there already, or columns by name.
+        """
         margin = F.lit(0.0)
         for tree, weight in zip(self.trees, self.weights):
             margin = margin + F.lit(weight) * _tree(tree, f)
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def _tree(node, f: Column) -> Column:
+def _tree(node, f: Column | dict[str, Column]) -> Column:
     if isinstance(node, float):
         return F.lit(node)
     feature, threshold, left, right = node
@@ -200,9 +206,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int =
     per kind the lowest of a hundred at which precision is PRECISION or more, or above 1 if none is.
     Without candidates of both labels the base spans alone remain.
     """
-    found = with_candidates(docs.select(F.col(text).alias("text")), "text", "_c").select(F.explode("_c").alias("c")).where("c.strict")
+    # Outer, as Spark otherwise puts a filter before it that finds all candidates once more, to see if there are any.
+    found = with_candidates(docs.select(F.col(text).alias("text")), "text", "_c").select(F.explode_outer("_c").alias("c")).where("c.strict")
     place = F.pmod(F.xxhash64("c.s", "c.before", F.lit(seed)), F.lit(1 << 30))
-    found = found.select((place % 5 == 0).alias("held"), valid(F.col("c")).cast("int").alias("label"), features(F.col("c")).alias("f"))
+    found = found.select((place % 5 == 0).alias("held"), valid(F.col("c")).cast("int").alias("label"), features(F.col("c"), F.col("c.s")).alias("f"))
     # Features are clipped counts and flags: there are few combinations, however many candidates.
     counted = found.groupBy("held", "label", *[F.col(f"f.{n}").alias(n) for n in FEATURES]).agg(F.count(F.lit(1)).cast("double").alias("n"))
     counted = materialize(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(counted))
@@ -212,7 +219,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int =
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=32, weightCol="n").fit(learnt.coalesce(4))
     trees = tuple(parse_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees)
     detector = Detector(trees, tuple(model.treeWeights), ())
-    scored = unseen.select("kind", "label", "n", F.floor(100 * detector.score(F.struct(*FEATURES))).cast("int").alias("bin"))
+    scored = unseen.select("kind", "label", "n", F.floor(100 * detector.score({n: F.col(n) for n in FEATURES})).cast("int").alias("bin"))
     counts = scored.groupBy("kind", "bin").agg(
         F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     thresholds = []
@@ -249,9 +256,15 @@ def personal_spans(docs: DataFrame, detector: Detector, text: str = "text", name
     if detector.trees:
         table = F.array(*[F.lit(float(t)) for t in detector.thresholds])
         rest = F.filter(cand, lambda c: ~c["base"] & ~F.exists(base, lambda b: overlaps(b, c)))
-        scored = F.transform(rest, lambda c: F.struct(
+        # Trees read fields of a finished struct, and its features a finished text: their expressions
+        # stand in the plan once, not at every node.
+        normal = F.transform(rest, lambda c: F.struct(c.alias("c"), _normal(c["c"]).alias("s")))
+        valued = F.transform(normal, lambda x: F.struct(
+            *[x["c"][name].alias(name) for name in ("start", "kind", "end", "base")], features(x["c"]["c"], x["s"]).alias("f"),
+        ))
+        scored = F.transform(valued, lambda c: F.struct(
             c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"),
-            detector.score(features(c["c"])).alias("score"),
+            detector.score(c["f"]).alias("score"),
         ))
         found = found.withColumn(more, F.filter(scored, lambda c: c["score"] >= F.get(table, c["kind"])))
         better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (

@@ -136,3 +136,17 @@ def test_fit_learns_from_every_candidate(spark, monkeypatch):
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"))
     personal.fit(docs)
     assert 23_000 < seen[0] < 25_000
+
+
+def test_plans_hold_every_feature_once(spark, monkeypatch):
+    """A plan that repeats features at every node of the trees, or all patterns in a filter, fills the driver."""
+    leaf = lambda k, depth: (k % 16, 0.5, leaf(k + 1, depth - 1), leaf(k + 2, depth - 1)) if depth else 0.25
+    deep = personal.Detector(tuple(leaf(k, 3) for k in range(12)), (0.1,) * 12, (0.5,) * 4)
+    docs = spark.createDataFrame([(1, "call (603) 555-8791 or a@b.c")], "doc_id long, text string")
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert text(personal.personal_spans(docs, deep)).count("regexp_replace(") < 60
+
+    plans = []
+    monkeypatch.setattr(personal, "materialize", lambda df: plans.append(text(df)) or df)
+    personal.fit(docs)
+    assert plans[0].count("regexp_extract_all(") == len(personal.GENERATORS)
