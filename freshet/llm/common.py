@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,22 @@ def release() -> None:
         pass
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most `rows` rows at once from what is run inside, as long as it lasts.
+
+    Executors and workers hold such a batch, in several forms; what is run later has the session's own size again.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    own = min(rows, int(before)) if int(before) > 0 else rows
+    spark.conf.set(name, str(own))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(text: str | None) -> list[bytes]:
     """The UTF-8 words of a text with A-Z in lower case; none for null."""
     if not text:

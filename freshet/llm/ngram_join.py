@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.durable import lookup, materialize
-from freshet.llm.common import expand, mix, release, runs, unused, words
+from freshet.llm.common import batches_of, expand, mix, release, runs, unused, words
 from freshet.llm.components import components
 
 WIDTH = 5
@@ -43,8 +43,10 @@ PERCENT = 75
 # Counters of the sketch of shingle frequencies, cut into chunks, and shingles per bucket of lists.
 SKETCH, CHUNKS = 1 << 22, 16
 BUCKET = 500_000
-# Distinct-set shingles that a task holds before it hands them on.
-HELD = 1_500_000
+# Distinct-set shingles that a task holds before it hands them on, and before it counts them.
+HELD, COUNTED = 500_000, 1 << 17
+# Rows of a batch between executors and their Python workers.
+BATCH = 1000
 # Bits of the filter that finds the documents whose sets are needed.
 NEEDED_BITS = 1 << 23
 LARGEST_SMALL = 48
@@ -92,6 +94,12 @@ def list_length(counts: np.ndarray) -> float:
     return 1 + max(float(counts.var(dtype=np.float32)) - mean, 0.0) / mean if mean else 1.0
 
 
+def tally(counters: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Counts the sets' shingles in place; a second array of counters would be many times as large as the sets."""
+    places = (np.concatenate(sets) >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
+    np.add.at(counters, places, np.uint32(1))
+
+
 def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT) -> int:
     """The smallest set size from which enumerating 2-subsets costs more than scanning lists.
 
@@ -117,7 +125,7 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            ns, nodes, slots, held, seen = [], [], [], [], set()
+            ns, nodes, slots, held, seen, size = [], [], [], [], set(), 0
             for value in batch["text"]:
                 keys = shingles(value, width)
                 node = set_id(keys) if len(keys) else None
@@ -127,9 +135,12 @@ def _doc_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[Data
                 if len(keys) and node not in seen:
                     seen.add(node)
                     held.append(keys)
+                    size += len(keys)
+                if size > COUNTED:
+                    tally(counters, held)
+                    held, size = [], 0
             if held:
-                places = (np.concatenate(held) >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
-                counters += np.bincount(places, minlength=SKETCH).astype(np.uint32)
+                tally(counters, held)
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "n": ns, "node": pd.array(nodes, dtype="Int64"), "chunk": -1, "counts": slots,
             })
@@ -487,13 +498,11 @@ def _crossed(own: DataFrame, percent: int) -> DataFrame:
             cuts = [*np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))).tolist(), len(key)]
             columns = [frame[c].to_numpy(np.int64) for c in ("node", "n", "place", "c", "block")]
             firsts = _padded(frame["firsts"])
-            found = []
-            for low, high in zip(cuts, cuts[1:]):
-                x, y = _block_pairs(*[v[low:high] for v in columns[1:]], bool(key[low, 1] == key[low, 2]), percent)
-                found.append((x + low, y + low))
-            x, y = (np.concatenate(v) for v in zip(*found))
-            for at in range(0, len(x), PAIRS):
-                a, b = x[at : at + PAIRS], y[at : at + PAIRS]
+            blocks = (
+                (x + low, y + low) for low, high in zip(cuts, cuts[1:])
+                for x, y in _block_pairs(*[v[low:high] for v in columns[1:]], bool(key[low, 1] == key[low, 2]), percent)
+            )
+            for a, b in _batched(blocks):
                 here = _least_shared(key[a, 0], firsts[a], firsts[b])
                 ends = np.sort(np.stack([columns[0][a[here]], columns[0][b[here]]], 1), axis=1)
                 pairs = np.unique(ends, axis=0)
@@ -521,24 +530,39 @@ def _least_shared(lists: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.
     return ~before
 
 
-def _block_pairs(n, place, c, block, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both ends' places of the pairs of one or of two blocks that differ in c and may link by sizes and places."""
+def _block_pairs(n, place, c, block, same: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Both ends' places of the pairs of one or of two blocks that differ in c and may link by sizes and places.
+
+    The pairs of one member at a time: those of two whole blocks are millions.
+    """
     left = np.arange(len(n)) if same else np.flatnonzero(block == block.min())
     right = left if same else np.flatnonzero(block != block.min())
-    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for x in left.tolist():
         y = right[right > x] if same else right
         room = np.minimum(n[x] - place[x], n[y] - place[y])  # what a first common shingle at these places leaves to share
         fits = (c[y] != c[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
         y = y[fits & ((100 + percent) * room >= percent * (n[x] + n[y]))]
-        xs.append(np.full(len(y), x))
-        ys.append(y)
-    return np.concatenate(xs), np.concatenate(ys)
+        if len(y):
+            yield np.full(len(y), x), y
+
+
+def _batched(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in arrays of about PAIRS, so that a task holds no more of them."""
+    held, size = [], 0
+    for x, y in pairs:
+        held.append((x, y))
+        size += len(x)
+        if size >= PAIRS:
+            yield tuple(np.concatenate(v) for v in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(v) for v in zip(*held))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) per row, and (node, least, w, c) per node: its smallest id, rows and group."""
-    rows, pairs = links(docs, doc_id, text, width, percent)
+    with batches_of(docs.sparkSession, BATCH):
+        rows, pairs = links(docs, doc_id, text, width, percent)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"))
     joined = nodes.join(components(pairs, "a", "b"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     return rows, materialize(joined.select("node", "least", "w", "c"))

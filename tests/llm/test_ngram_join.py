@@ -197,3 +197,40 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert join.near_documents(docs).count() == 0
     assert join.representatives(docs).count() == 0
+
+
+def test_pairs_of_blocks_come_in_bounded_parts(monkeypatch):
+    """Two blocks of 300 that all may link: 90,000 pairs, about 1,000 of them at once."""
+    monkeypatch.setattr(join, "PAIRS", 1000)
+    n, place = np.full(600, 20), np.zeros(600, np.int64)
+    c, block = np.arange(600), np.repeat([0, 1], 300)
+    parts = list(join._batched(join._block_pairs(n, place, c, block, False, 75)))
+    assert max(len(x) for x, _ in parts) <= 1300
+    assert sorted(p for x, y in parts for p in zip(x.tolist(), y.tolist())) == [(a, b) for a in range(300) for b in range(300, 600)]
+    same = list(join._batched(join._block_pairs(n, place, c // 2, np.zeros(600), True, 75)))
+    assert sum(len(x) for x, _ in same) == 600 * 599 // 2 - 300 and max(len(x) for x, _ in same) <= 1600
+
+
+def test_counting_needs_no_second_sketch():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(200)]
+    counters = np.zeros(join.SKETCH, np.uint32)
+    tracemalloc.start()
+    join.tally(counters, sets + sets[:50])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    places = (np.concatenate(sets + sets[:50]) >> np.uint64(20)).astype(np.int64) & (join.SKETCH - 1)
+    assert (counters == np.bincount(places, minlength=join.SKETCH)).all()
+    assert peak < counters.nbytes
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """While links are found, and only then."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    monkeypatch.setattr(join, "links", lambda docs, doc_id, *_: seen.append(spark.conf.get(name)) or (
+        docs.selectExpr("doc_id", "1L AS n", "doc_id AS node"), docs.selectExpr("doc_id AS a", "doc_id AS b")))
+    join.near_documents(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).collect()
+    assert seen == [str(join.BATCH)] and spark.conf.get(name) == before
