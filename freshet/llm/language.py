@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import release, text_blocks
+from freshet.llm.common import give_back, release, text_blocks
 
 # Symbols of labelled text per language, symbols that a language tells apart, those of them that its
 # rarer letters share, and rows asked for per language.
@@ -234,7 +234,10 @@ def fit(
         start = F.substring("text", 1, 2 * symbols)
         more = labelled.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(start, place).alias("text"))
         texts |= {r["lang"]: [r["text"]] for r in more.collect()}
-    return build(texts, symbols)
+    parser = build(texts, symbols)
+    del frame, texts
+    give_back(docs.sparkSession)
+    return parser
 
 
 def language(parser: Parser, text: Column) -> Column:

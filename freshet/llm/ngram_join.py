@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.durable import lookup, materialize
-from freshet.llm.common import batches_of, expand, mix, release, runs, unused, words
+from freshet.llm.common import batches_of, expand, give_back, mix, release, runs, unused, words
 from freshet.llm.components import components
 
 WIDTH = 5
@@ -459,11 +459,15 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         sets = _made(docs, named.join(ids, "node"), doc_id, text, width)
         return _passed(left, sets, np.uint64, lambda *row: enough(*row, percent))
 
+    give_back(docs.sparkSession)
     first = verified(candidates)
+    give_back(docs.sparkSession)
     # Members of one list that are not connected yet are compared with each other.
     joined = materialize(components(first, "a", "b"))
     own = members.join(joined, "node", "left").select("list", "node", "n", "place", F.coalesce("component", "node").alias("c"))
+    give_back(docs.sparkSession)
     crossed = materialize(_crossed(materialize(own), percent))
+    give_back(docs.sparkSession)
     return rows, first.unionAll(verified(crossed.join(candidates, ["a", "b"], "left_anti")))
 
 
@@ -563,6 +567,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     """(doc_id, n, node) per row, and (node, least, w, c) per node: its smallest id, rows and group."""
     with batches_of(docs.sparkSession, BATCH):
         rows, pairs = links(docs, doc_id, text, width, percent)
+    give_back(docs.sparkSession)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"))
     joined = nodes.join(components(pairs, "a", "b"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     return rows, materialize(joined.select("node", "least", "w", "c"))

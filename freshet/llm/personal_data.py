@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.durable import materialize
-from freshet.llm.common import unused
+from freshet.llm.common import give_back, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL, IP, CARD, PHONE = range(4)
@@ -219,6 +219,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int =
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=32, weightCol="n").fit(learnt.coalesce(4))
     trees = tuple(parse_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees)
     detector = Detector(trees, tuple(model.treeWeights), ())
+    del model
+    give_back(docs.sparkSession)
     scored = unseen.select("kind", "label", "n", F.floor(100 * detector.score({n: F.col(n) for n in FEATURES})).cast("int").alias("bin"))
     counts = scored.groupBy("kind", "bin").agg(
         F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import release, words
+from freshet.llm.common import give_back, release, words
 
 # Hashed word features (all features are numbered below 2^16), factors per feature, and labelled
 # rows that a fit may use.
@@ -134,7 +134,10 @@ def fit(
     width = size + len(STRUCTURE) + len(metadata)
     at = [np.frombuffer(x, np.uint16) for x in sample["at"]]
     values = [np.frombuffer(x, np.float32) for x in sample["values"]]
-    return train(at, values, sample["label"].to_numpy(), width, size, metadata, seed)
+    machine = train(at, values, sample["label"].to_numpy(), width, size, metadata, seed)
+    del sample, at, values
+    give_back(docs.sparkSession)
+    return machine
 
 
 def train(
