@@ -243,6 +243,22 @@ def test_training_queries_return_both_splits(spark, folder, name):
     assert {r["split"] for r in rows} == {"train", "test"} and all(r["count"] > 0 for r in rows)
 
 
+def test_cross_validated_predictions_shorten_nothing(spark, folder, monkeypatch):
+    from freshet.constants import FEATURES_108
+    from freshet.plans import model_queries
+
+    asked = []
+
+    def seen(train, test, features, target, config, seed, folds, **short):
+        asked.append((config.name, features, short))
+        return test.select("record_id", F.lit("test").alias("split"), F.lit(config.name).alias("model"), F.lit(0.5).alias("pred"))
+
+    monkeypatch.setattr(training, "cross_validate", seen)
+    monkeypatch.setattr(model_queries, "feature_table", lambda obs: obs)
+    model_queries.QUERIES["cross_validated_predictions"](spark, folder)
+    assert asked == [("cat_d4", FEATURES_108, {}), ("et_leaf5", FEATURES_108, {})]
+
+
 def test_repeated_or_missing_predictions_stop_a_blend(spark):
     a = spark.createDataFrame([(1, 0.1), (2, 0.2)], "id long, p double")
     twice = spark.createDataFrame([(1, 0.1), (2, 0.2), (2, 0.3)], "id long, p double")
